@@ -43,6 +43,8 @@ def read(text: str, language: str) -> Parsed:
     for dialect in DIALECTS.get(language, (language,)):
         lexer, grammar = _tools(dialect)
         tokens = lexer(text)
+        if len(tokens.kinds) == 1:  # blank, or nothing but comments
+            return Parsed(True, dialect, tokens, set(), 0)
         ok, at, spans = parse(grammar, tokens.kinds, tokens.breaks)
         got = Parsed(ok, dialect, tokens, spans, at)
         if ok:

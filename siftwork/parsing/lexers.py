@@ -317,7 +317,7 @@ class PythonLexer:
                 line += 1
                 continue
             if fresh and not depth:
-                fresh = False
+                fresh, mark = False, len(kinds)
                 if col > indents[-1]:
                     indents.append(col)
                     put("INDENT", "")
@@ -327,6 +327,10 @@ class PythonLexer:
                         put("DEDENT", "")
                     if col != indents[-1]:
                         put("BAD", "")
+                for j in range(len(t.comments) - 1, -1, -1):  # comments belong to the token itself
+                    if t.comments[j][0] != mark:
+                        break
+                    t.comments[j] = (len(kinds), *t.comments[j][1:])
             if k in special:
                 if k == _LONG:
                     put("STR", s)
@@ -390,6 +394,7 @@ class RubyLexer:
             last = kinds[-1] if kinds else "NL"
             spaced = m.start() > 0 and text[m.start() - 1] in " \t"
             if c == "\n":
+                here = line
                 line += 1
                 for word, loose in waiting:  # bodies of here-documents follow their line
                     body = re.compile(rf"{'[ \t]*' if loose else ''}{re.escape(word)}\r?$", re.M)
@@ -407,14 +412,16 @@ class RubyLexer:
                         break
                     line += text.count("\n", pos, e.end()) + 1
                     pos = min(e.end() + 1, len(text))
-                    kinds_nl = True
                 waiting = []
                 if (depth and depth[-1] in "([") or last == "NL" or last in self._goes_on and not (last == "|" and self._block_bar(kinds)):
                     continue
                 rest = re.compile(r"(?:[ \t\r]*(?:#[^\n]*)?\n)*[ \t]*(&?\.(?!\.))").match(text, pos)
                 if rest:
                     continue
-                k = "NL"
+                kinds.append("NL")
+                texts.append("")
+                lines.append(here)
+                continue
             elif c == "#" or s.startswith("=begin") and "\n" in s or s.startswith("__END__"):
                 n = s.count("\n")
                 t.comments.append((len(kinds), line, line + n, s))
@@ -474,7 +481,7 @@ class RubyLexer:
             kinds.append(k)
             texts.append(s)
             lines.append(line)
-            if len(s) > 1 and k != "NL":
+            if len(s) > 1:
                 line += s.count("\n")
         if waiting:
             kinds.append("BAD")
