@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import documented_functions, parse_failures
+from . import documented_functions, generated_code, parse_failures, splitting, term_frequency
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,5 +25,36 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
     return parse_failures.failure_rates(table(spark, folder, "source_files"), table(spark, folder, "parse_reports"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_rates)}
-SQL: dict[str, str] = {}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return term_frequency.term_frequencies(table(spark, folder, "postings")).where("mark is not null").select("term", "mark")
+
+
+def p2_frequencies(spark: SparkSession, folder: str) -> DataFrame:
+    return term_frequency.term_frequencies(table(spark, folder, "postings"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.cut_kinds(table(spark, folder, "doc_sections"))
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.pieces(table(spark, folder, "doc_sections")).distinct()
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = generated_code.not_handwritten(table(spark, folder, "source_files"), table(spark, folder, "parse_reports"))
+    return rows.select("file_id").distinct()
+
+
+def p5_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    return generated_code.not_handwritten(table(spark, folder, "source_files"), table(spark, folder, "parse_reports"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p3_found, p3_pieces, p4_found, p4_rates, p5_found, p5_reasons)}
+SQL: dict[str, str] = {
+    "p2_frequencies": """
+with once as (select distinct build_id, doc_id, field_id, term, segment_no, tf from postings where term is not null),
+counts as (select lower(regexp_replace(nfc_normalize(term), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) as term, sum(tf)::bigint as occurrences, count(distinct doc_id) as records from once group by 1)
+select term, occurrences, records, case when occurrences <= 3 then 'rare' when records >= 0.3 * (select count(distinct doc_id) from postings) then 'common' end as mark from counts""",
+}
+SQL["p2_found"] = f"select term, mark from ({SQL['p2_frequencies']}) where mark is not null"
