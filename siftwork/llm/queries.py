@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import documented_functions, generated_code, parse_failures, splitting, term_frequency
+from . import contamination, documented_functions, generated_code, parse_failures, splitting, term_frequency
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,7 +50,16 @@ def p5_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return generated_code.not_handwritten(table(spark, folder, "source_files"), table(spark, folder, "parse_reports"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p3_found, p3_pieces, p4_found, p4_rates, p5_found, p5_reasons)}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "eval_items")
+    return contamination.leaked_items(contamination.leaks(table(spark, folder, "documents"), items), items)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p3_found, p3_pieces, p4_found, p4_rates, p5_found, p5_reasons, p6_found, p6_items)}
 SQL: dict[str, str] = {
     "p2_frequencies": """
 with once as (select distinct build_id, doc_id, field_id, term, segment_no, tf from postings where term is not null),
