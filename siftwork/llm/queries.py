@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import contamination, documented_functions, generated_code, parse_failures, reading_level, splitting, term_frequency
+from . import contamination, documented_functions, generated_code, mixing, parse_failures, reading_level, splitting, term_frequency
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,6 +59,22 @@ def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.leaked_items(contamination.leaks(table(spark, folder, "documents"), items), items)
 
 
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "source_weights")).records
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "source_weights")).report
+
+
+def p7_mixture_full(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "source_weights"), "all").records
+
+
+def p7_shares_full(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "source_weights"), "all").report
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading_level.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels")).select("doc_id", "band")
 
@@ -68,7 +84,7 @@ def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
     return reading_level.profile(documents, reading_level.reading_levels(documents, table(spark, folder, "reading_labels")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p3_found, p3_pieces, p4_found, p4_rates, p5_found, p5_reasons, p6_found, p6_items, p8_found, p8_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p3_found, p3_pieces, p4_found, p4_rates, p5_found, p5_reasons, p6_found, p6_items, p7_mixture, p7_shares, p7_mixture_full, p7_shares_full, p8_found, p8_profile)}
 SQL: dict[str, str] = {
     "p2_frequencies": """
 with once as (select distinct build_id, doc_id, field_id, term, segment_no, tf from postings where term is not null),
