@@ -36,15 +36,18 @@ class Grammar:
     prefer maps (rule, terminal) to the rule name that is taken where several would
     fit, for choices that a language settles by fiat (a brace at the start of a
     statement opens a block, not an object).  greedy names rules that go on for as
-    long as they can (an else belongs to the nearest if).
+    long as they can (an else belongs to the nearest if), except before the one-character
+    terminals after an exclamation mark.
     """
 
     def __init__(self, text: str, start: str, prefer: dict[tuple[str, str], str] | None = None, classes: dict[str, list[str]] | None = None, greedy: str = ""):
-        self.greedy = set(greedy.split())
+        words = [w.partition("!") for w in greedy.split()]
+        self.greedy = {w[0]: set(w[2]) for w in words}
         self.rules: dict[str, tuple] = {}
         self.tagged: set[str] = set()
         self._classes = classes or {}
         self._read(text)
+        self._inline({start, *(r for r, _ in prefer or {}), *(prefer or {}).values(), *self.greedy, *self.tagged})
         self.rules[_TOP] = ("seq", [("n", start), ("t", EOF)])
         self.start_rule = _TOP
         self._build(prefer or {})
@@ -94,6 +97,33 @@ class Grammar:
             if tag:
                 self.tagged.add(name)
 
+    def _inline(self, kept: set[str], most: int = 60, growth: int = 600) -> None:
+        """Puts small rules that do not call themselves into their callers: fewer calls, and
+        alternatives that begin alike share their states."""
+
+        def size(x) -> int:
+            return 1 if x[0] in ("t", "n") else size(x[1]) if x[0] in ("opt", "rep") else sum(map(size, x[1]))
+
+        def uses(x, name: str) -> int:
+            if x[0] in ("t", "n"):
+                return x == ("n", name)
+            return uses(x[1], name) if x[0] in ("opt", "rep") else sum(uses(y, name) for y in x[1])
+
+        def put(x, name: str, body):
+            if x[0] in ("t", "n"):
+                return body if x == ("n", name) else x
+            if x[0] in ("opt", "rep"):
+                return (x[0], put(x[1], name, body))
+            return (x[0], [put(y, name, body) for y in x[1]])
+
+        for name in [r for r in self.rules if r not in kept]:
+            body = self.rules[name]
+            n = sum(uses(b, name) for r, b in self.rules.items() if r != name)
+            if uses(body, name) or size(body) > most or size(body) * n > growth:
+                continue
+            del self.rules[name]
+            self.rules = {r: put(b, name, body) for r, b in self.rules.items()}
+
     # -- automata and tables ---------------------------------------------------------
 
     def _build(self, prefer: dict[tuple[str, str], str]) -> None:
@@ -238,11 +268,14 @@ class Grammar:
         for q in range(n):
             self.table.append({k: self._chain(q, k) for k in self.choices[q]})
 
+    def _stays(self, q: int, k: str) -> bool:
+        return k not in self.greedy.get(self.owner[q], (k,))
+
     def _chain(self, q: int, k: str) -> tuple | None:
         pushes = []
         for _ in range(200):
             options = self.choices[q].get(k, ())
-            if len(options) != 1 or self.final[q] and k in self.follow[self.owner[q]] and self.owner[q] not in self.greedy:
+            if len(options) != 1 or self.final[q] and k in self.follow[self.owner[q]] and not self._stays(q, k):
                 return None
             rule, to = options[0]
             if rule is None:
@@ -258,13 +291,17 @@ class Grammar:
         return sorted({(self.owner[q], k) for q, row in enumerate(self.table) for k, v in row.items() if v is None})
 
 
+# A rule call on the stack is a tuple (state to return to, stack below, tag, first token), or
+# a _Node where several stacks share it.
+
+
 class _Node:
-    """A rule call: where to return to, and the stack below; more holds further pairs."""
+    """A shared rule call: more holds further pairs of a state to return to and the stack below."""
 
     __slots__ = ("ret", "below", "tag", "at", "more")
 
     def __init__(self, ret, below, tag, at):
-        self.ret, self.below, self.tag, self.at, self.more = ret, below, tag, at, None
+        self.ret, self.below, self.tag, self.at, self.more = ret, below, tag, at, []
 
 
 def _step(g: Grammar, configs: list, k: str, i: int, spans: set) -> list:
@@ -291,17 +328,20 @@ def _step(g: Grammar, configs: list, k: str, i: int, spans: set) -> list:
             if v is None:
                 calls[rule] = v = _Node(to, u, tag, i)
                 work.append((g.start[rule], v))
-            elif not (v.ret == to and v.below is u) and (to, u) not in (v.more or ()):
-                v.more = [*(v.more or ()), (to, u)]
+            elif not (v.ret == to and v.below is u) and not any(r == to and b is u for r, b in v.more):
+                v.more.append((to, u))
                 if id(v) in returned:
                     work.append((to, u))
-        if g.final[q] and u is not None and k in g.follow[g.owner[q]] and not (k in g.choices[q] and g.owner[q] in g.greedy):
-            returned.add(id(u))
-            if u.tag:
-                spans.add((u.tag, u.at, i))
-            work.append((u.ret, u.below))
-            if u.more:
+        if g.final[q] and u is not None and k in g.follow[g.owner[q]] and not (k in g.choices[q] and g._stays(q, k)):
+            if u.__class__ is tuple:
+                ret, below, tag, at = u
+            else:
+                ret, below, tag, at = u.ret, u.below, u.tag, u.at
+                returned.add(id(u))
                 work.extend(u.more)
+            if tag:
+                spans.add((tag, at, i))
+            work.append((ret, below))
     return list(after.values())
 
 
@@ -321,21 +361,27 @@ def parse(g: Grammar, kinds: list[str], breaks: set[int] | None = None, at: int
             if act:
                 pushes, q = act
                 for tag, to in pushes:
-                    u = _Node(to, u, tag, i)
+                    u = (to, u, tag, i)
                 break
-            if act == 0 and final[q] and u is not None and not u.more:
-                if u.tag:
-                    spans.add((u.tag, u.at, i))
-                q, u = u.ret, u.below
-                continue
-            configs = _step(g, [(q, u)], k, i, spans) if act is None or u is not None and u.more else []
+            if act == 0 and final[q] and u is not None:
+                if u.__class__ is tuple:
+                    q, u, tag, at = u
+                    if tag:
+                        spans.add((tag, at, i))
+                    continue
+                if not u.more:
+                    if u.tag:
+                        spans.add((u.tag, u.at, i))
+                    q, u = u.ret, u.below
+                    continue
+            configs = _step(g, [(q, u)], k, i, spans) if act is None or u.__class__ is _Node and u.more else []
             before = [(q0, u0)]
             while True:
                 if not configs and breaks is not None and (i in breaks or k == "}" or k == EOF):
                     configs = _step(g, _step(g, before, AUTO_SEMI, i, spans), k, i, spans)
                 if not configs:
                     return False, i, spans
-                if len(configs) == 1 and (configs[0][1] is None or not configs[0][1].more):
+                if len(configs) == 1 and not (configs[0][1].__class__ is _Node and configs[0][1].more):
                     break
                 i += 1
                 if i == n:

@@ -143,7 +143,7 @@ Declared = VarStmt | Func | Class <| TsDecl> ;
 Block = '{' {Stmt} '}' ;
 Stmt = Block | VarStmt | Func | Class | If | For | While | Do | 'return' [Expr] Semi | ('break' | 'continue') [Name] Semi | 'throw' Expr Semi | Try | Switch | ';' | 'debugger' Semi | ExprStmt <| TsDecl> ;
 ExprStmt = Expr ( Semi | ':' Stmt ) ;
-VarStmt = ('const' | 'let' | 'var') VarDecl {',' VarDecl} Semi ;
+VarStmt = 'const' ( VarDecl {',' VarDecl} Semi <| Enum> ) | ('let' | 'var') VarDecl {',' VarDecl} Semi ;
 @VarDecl = Binding <['!'] [':' Type]> [Init] ;
 @Init = '=' Assign ;
 Binding = Name | '{' [ BindProp {',' BindProp} [','] ] '}' | '[' {','} [ BindElem {',' [BindElem]} ] ']' ;
@@ -154,7 +154,7 @@ FuncEnd = Block < | Semi > ;
 Params = '(' [ Param {',' Param} [','] ] ')' ;
 Param = <{Decorator} {ParamMod}> ['...'] Binding <['?'] [':' Type]> ['=' Assign] ;
 @Class = {Decorator} <['abstract']> 'class' [Name] <[TypeParams]> ['extends' Unary <[TypeArgs]>] <['implements' TypeList]> '{' {Member} '}' ;
-Decorator = '@' Lhs ;
+Decorator = '@' ( Name {'.' AnyName} [Paren] | Paren ) ;
 Member = ';' | {Decorator} {MemberMod} ['*'] PropName <['?' | '!']> (Method | Field) | 'static' Block < | {MemberMod} '[' Name ':' Type ']' ':' Type Semi > ;
 MemberMod = 'static' | 'async' | 'get' | 'set' < | 'public' | 'private' | 'protected' | 'readonly' | 'abstract' | 'override' | 'declare' > ;
 @Method = <[TypeParams]> Params <[':' Type]> FuncEnd ;
@@ -168,7 +168,7 @@ Do = 'do' Stmt 'while' '(' Expr ')' [';'] ;
 Try = 'try' Block ( 'catch' ['(' Binding <[':' Type]> ')'] Block ['finally' Block] | 'finally' Block ) ;
 Switch = 'switch' '(' Expr ')' '{' { ('case' Expr | 'default') ':' {Stmt} } '}' ;
 Expr = Assign {',' Assign} ;
-Assign = Bin [ (ASG | '=') Assign | '?' Assign ':' Assign | <[':' Type]> ArrowTail ] | 'yield' ['*'] [Assign] | 'async' Name ArrowTail ;
+Assign = Bin [ (ASG | '=') Assign | '?' Assign ':' Assign ] | 'yield' ['*'] [Assign] ;
 @ArrowTail = '=>' ArrowBody ;
 ArrowBody = Block | Assign ;
 Bin = Unary { BinOp Unary < | ('as' | 'satisfies') ( Type | 'const' ) > } ;
@@ -176,7 +176,7 @@ BinOp = BIN | '+' | '-' | '*' | '/' | '&' | '|' | '<' | '>' ['>' ['>']] | '>=' |
 Unary = {'+' | '-' | '!' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await'} Lhs ['++' | '--'] < | TypeParams Unary > ;
 Lhs = Primary { Suffix } ;
 Suffix = '.' AnyName | '?.' ( AnyName | Paren | '[' Expr ']' | STR ) | '[' Expr ']' | Paren | STR < | '!' | TypeArgs (Paren | STR) > ;
-Primary = Name | NUM | STR | 'this' | 'super' | 'null' | 'true' | 'false' | Paren | Array | Object | FuncExpr | Class | 'new' ( Lhs | '.' AnyName ) | 'import' ( Paren | '.' AnyName ) ;
+Primary = Name [ArrowTail] | 'async' Name ArrowTail | NUM | STR | 'this' | 'super' | 'null' | 'true' | 'false' | Paren [ ArrowTail <| ':' Type ArrowTail> ] | Array | Object | FuncExpr | Class | 'new' ( Lhs | '.' AnyName ) | 'import' ( Paren | '.' AnyName ) ;
 @FuncExpr = ['async'] 'function' ['*'] [Name] <[TypeParams]> Params <[':' Type]> Block ;
 Paren = '(' [ ParenItem {',' [ParenItem]} ] ')' ;
 ParenItem = '...' Assign <[':' Type]> | Expr1 ;
@@ -195,7 +195,7 @@ _TS = """
 TsDecl = Interface | TypeAlias | Enum | Namespace | 'declare' ( Declared | 'global' Block ) ;
 @Interface = 'interface' Name [TypeParams] ['extends' TypeList] ObjType ;
 @TypeAlias = 'type' Name [TypeParams] '=' Type Semi ;
-@Enum = ['const'] 'enum' Name '{' [ EnumItem {',' EnumItem} [','] ] '}' ;
+@Enum = 'enum' Name '{' [ EnumItem {',' EnumItem} [','] ] '}' ;
 EnumItem = PropName ['=' Assign] ;
 Namespace = ('namespace' | 'module') ( Name {'.' Name} | STR ) ( '{' {Item} '}' | Semi ) ;
 ParamMod = 'public' | 'private' | 'protected' | 'readonly' | 'override' ;
@@ -418,7 +418,7 @@ Tern = Range [ '?' Tern (':' | LABEL) Tern ] ;
 Range = Bin [ ('..' | '...') [Bin] ] ;
 Bin = Unary { (BIN | '+' | '-' | '*' | '**' | '&' | '|' | '<' ) Unary } ;
 Unary = {'-' | '+' | '!' | '~' | UMINUS | '&' | 'defined?'} Postfix ;
-Postfix = Primary { '.' Called | '&.' Called | '::' Called | '(' [Args] ')' | IDX [Args] ']' } ;
+Postfix = Primary { '.' Called | '&.' Called | '::' Called | IDX [Args] ']' } ;
 Called = ( ID | '(' [Args] ')' ) [ARGS [Args] ')'] [Brace | DoBlock | Command] | CONST [ ARGS [Args] ')' [Brace | DoBlock] ] ;
 Command = CmdArg {',' CmdItem} [DoBlock] ;
 CmdArg = CmdFirst | LABEL [CmdItem] ;
@@ -430,8 +430,8 @@ Args = ArgItem {',' ArgItem} [','] {NL} ;
 ArgItem = {NL} ( ('*' | SPLAT | '**' | '&' | BLOCKARG) [Arg] | Arg ['=>' Arg | Command1] | LABEL [Arg] ) ;
 Command1 = 'rescue2' ;
 Word = ( ID | 'super' | 'yield' ) [ ARGS [Args] ')' ] [Brace | DoBlock | Command] ;
-Primary = Word | Plain | '[' [Args] ']' | Hash ;
-Plain = CONST [ ARGS [Args] ')' [Brace | DoBlock] | Command2 ] | NUM | STR {STR} | SYM | IVAR | 'nil' | 'true' | 'false' | 'self' | '__FILE__' | '__LINE__' | '(' Stmts ')' | ARGS Stmts ')' | '::' CONST | Lambda | Def | Class | Module | Begin | If | While | Case | For | Jump ;
+Primary = Word | Plain | ARGS Stmts ')' | '[' [Args] ']' | Hash ;
+Plain = CONST [ ARGS [Args] ')' [Brace | DoBlock] | Command2 ] | NUM | STR {STR} | SYM | IVAR | 'nil' | 'true' | 'false' | 'self' | '__FILE__' | '__LINE__' | '(' Stmts ')' | '::' CONST | Lambda | Def | Class | Module | Begin | If | While | Case | For | Jump ;
 Command2 = STR {STR} ;
 Jump = ('return' | 'break' | 'next') [Command3] | 'redo' | 'retry' ;
 Command3 = JumpItem {',' JumpItem} ;
@@ -482,7 +482,7 @@ def build(language: str) -> Grammar:
     from . import lexers as L
 
     if language == "go":
-        return Grammar(GO, "File")
+        return Grammar(GO, "File", None, None, "Operand OperandX")
     if language == "python":
         return Grammar(PYTHON, "File")
     if language in ("javascript", "typescript"):
@@ -490,12 +490,12 @@ def build(language: str) -> Grammar:
         context = (L.JS_CONTEXT + " " + (L.TS_CONTEXT if ts else "")).split()
         words = (L.JS_WORDS + " " + (L.TS_WORDS if ts else "")).split()
         prefer = {("Stmt", "{"): "Block", ("Stmt", "function"): "Func", ("Stmt", "class"): "Class", ("Stmt", "@"): "Class", ("ArrowBody", "{"): "Block", ("FuncEnd", "{"): "Block", ("Export", "function"): "Func", ("Export", "class"): "Class"}
-        return Grammar(_js(_JS, ts) + (_TS if ts else ""), "Program", prefer, {"ASI": [AUTO_SEMI], "CONTEXT": context, "WORD": words}, "Bin If Do Expr TypeOp Postfix Union Inter")
+        return Grammar(_js(_JS, ts) + (_TS if ts else ""), "Program", prefer, {"ASI": [AUTO_SEMI], "CONTEXT": context, "WORD": words}, "Bin If Do Expr TypeOp Postfix Union Inter Lhs!<")
     if language == "rust":
         every = [*L.RUST_WORDS.split(), *(o for o in L.RUST_OPS.split() if o not in ("(", ")", "[", "]", "{", "}") and o not in L.RUST_BINARY.split()), "BIN", "ID", "NUM", "STR", "LIFE"]
         like = "{ unsafe async loop while for if match LIFE".split()
         prefer = {("Body", k): "BlockLike" for k in like} | {("Arms", k): "BlockLike" for k in like} | {("Bin", "&"): "Unary"}
-        return Grammar(RUST, "File", prefer, {"ANYTOKEN": sorted(set(every)), "UNIONWORD": ["union-word"]}, "Bin BinX Expr ExprX Jump JumpX Type Bounds Pats")
+        return Grammar(RUST, "File", prefer, {"ANYTOKEN": sorted(set(every)), "UNIONWORD": ["union-word"]}, "Bin BinX Expr ExprX Jump JumpX Type Bounds Pats Seg")
     if language == "java":
         mods = "public protected private abstract static final native synchronized transient volatile strictfp default".split()
         return Grammar(JAVA, "Unit", {("BlockStmt", "PRIM"): "Local", ("BlockStmt", "switch"): "Stmt", ("Stmt", "switch"): "Switch"}, {"ID": ["ID", "record"], "MOD": mods, "PERMITS": ["ID"], "YIELD": ["ID"], "GUARD": ["ID"]}, "Bin Cond Expr Stmt Suffix BaseType Type")

@@ -52,3 +52,18 @@ def read(text: str, language: str) -> Parsed:
         if best is None or at > best.failed_at:
             best = got
     return best
+
+
+def recognises(text: str, language: str) -> str | None:
+    """The first dialect of the language that takes the whole text, without keeping tokens."""
+    for dialect in DIALECTS.get(language, (language,)):
+        lexer, grammar = _tools(dialect)
+        brief = getattr(lexer, "brief", None)
+        if brief:
+            kinds, breaks = brief(text)
+        else:
+            tokens = lexer(text)
+            kinds, breaks = tokens.kinds, tokens.breaks
+        if len(kinds) == 1 or parse(grammar, kinds, breaks)[0]:
+            return dialect
+    return None

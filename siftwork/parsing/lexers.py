@@ -60,8 +60,12 @@ def _ops(text: str) -> list[str]:
     return sorted(text.split(), key=len, reverse=True)
 
 
-def _pattern(*parts: str, ops: str) -> re.Pattern:
-    return re.compile("|".join([*parts, *(re.escape(o) for o in _ops(ops) if len(o) > 1), r"\n|\S"]))
+#: What most tokens are, tried first: a word that is no prefix of a string, or a lone mark.
+_FREQUENT = r"[A-Za-z_]\w*+(?![\w\"'#$])|[()\[\]{},;\n]"
+
+
+def _pattern(*parts: str, ops: str, frequent: str = _FREQUENT) -> re.Pattern:
+    return re.compile("|".join([frequent, *parts, *(re.escape(o) for o in _ops(ops) if len(o) > 1), r"\n|\S"]))
 
 
 def _classifier(ops: str, binary: str, more=None):
@@ -96,6 +100,44 @@ class BraceLexer:
 
     def __init__(self, pattern: re.Pattern, kinds: _Kinds, auto: str = "", ends: frozenset = frozenset()):
         self.pattern, self.kinds, self.auto, self.ends = pattern, kinds, auto, ends
+        # for brief(): '' for what is left out, and a mark for what spans or ends lines
+        marks = {_NL: _NL, _LONG: "STR"}
+        fixed = {s: marks.get(k, k) for s, k in kinds.fixed.items()}
+        self.short = _Kinds(fixed, lambda s: ("\n" if auto and "\n" in s else "") if (k := kinds.classify(s)) == _COMMENT else marks.get(k, k))
+
+    def brief(self, text: str) -> tuple[list[str], set[int] | None]:
+        """Only the kinds (with the end) and the breaks: enough to recognise a text."""
+        found = map(self.short.__getitem__, self.pattern.findall(text.removeprefix("\ufeff")))
+        if not self.auto:
+            kinds = [k for k in found if k and k != _NL]
+            kinds.append(EOF)
+            return kinds, None
+        kinds, ends, fresh = [], self.ends, False
+        if self.auto == "go":
+            for k in found:
+                if k == _NL:
+                    if kinds and kinds[-1] in ends:
+                        kinds.append(";")
+                elif k:
+                    kinds.append(k)
+            if kinds and kinds[-1] in ends:
+                kinds.append(";")
+            kinds.append(EOF)
+            return kinds, None
+        breaks: set[int] = set()
+        for k in found:
+            if k == _NL:
+                if not fresh:
+                    if kinds and kinds[-1] in ends:
+                        kinds.append(";")
+                    fresh = True
+            elif k:
+                if fresh:
+                    breaks.add(len(kinds))
+                    fresh = False
+                kinds.append(k)
+        kinds.append(EOF)
+        return kinds, breaks
 
     def __call__(self, text: str) -> Tokens:
         t = Tokens(breaks=set() if self.auto == "js" else None)
@@ -103,7 +145,7 @@ class BraceLexer:
         line, fresh = 1, False
         special = {_NL, _COMMENT, _LONG}
         go, js, ends = self.auto == "go", self.auto == "js", self.ends
-        for s in self.pattern.findall(text.removeprefix("﻿")):
+        for s in self.pattern.findall(text.removeprefix("\ufeff")):
             k = table[s]
             if k in special:
                 if k == _NL:
@@ -271,7 +313,7 @@ class PythonLexer:
 
     def __init__(self):
         p = r"(?:[rRuUbBfFtT]{1,2})?"
-        self.pattern = _pattern(r"\n[ \t\f]*", r"#[^\n]*", r"\\\r?\n", p + r'"""(?:[^"\\]++|\\[\s\S]|"(?!""))*"""', p + r"'''(?:[^'\\]++|\\[\s\S]|'(?!''))*'''", p + _DQ, p + _SQ, _WORD, _NUMBER, ops=PY_OPS + " <>")
+        self.pattern = _pattern(r"\n[ \t\f]*", r"#[^\n]*", r"\\\r?\n", p + r'"""(?:[^"\\]++|\\[\s\S]|"(?!""))*"""', p + r"'''(?:[^'\\]++|\\[\s\S]|'(?!''))*'''", p + _DQ, p + _SQ, _WORD, _NUMBER, ops=PY_OPS + " <>", frequent=_FREQUENT.replace(r"\n", ""))
 
         def more(s: str) -> str:
             if s[0] == "\n":
@@ -294,7 +336,7 @@ class PythonLexer:
         special = {_NL, _COMMENT, _LONG, "(", "[", "{", ")", "]", "}"}
         line, depth, indents = 0, 0, [0]
         col, fresh = 0, True
-        text = text.removeprefix("﻿")
+        text = text.removeprefix("\ufeff")
 
         def put(k, s):
             kinds.append(k)
@@ -385,7 +427,7 @@ class RubyLexer:
     def __call__(self, text: str) -> Tokens:
         t = Tokens()
         kinds, texts, lines = t.kinds, t.texts, t.lines
-        text = text.removeprefix("﻿")
+        text = text.removeprefix("\ufeff")
         line, pos, depth, waiting = 1, 0, [], []
         match = self.pattern.search
         while m := match(text, pos):
