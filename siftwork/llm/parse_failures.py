@@ -35,15 +35,20 @@ def _parse(batches):
         ids, langs, texts = (b.column(c).to_pylist() for c in ("file_id", "language", "content"))
         ok, dialect, line = [], [], []
         for lang, text in zip(langs, texts):
+            known = languages.recognises(text, lang)
+            ok.append(known is not None)
+            dialect.append(known)
+            if known:
+                line.append(None)
+                continue
             p = languages.read(text, lang)
-            ok.append(p.ok)
-            dialect.append(p.dialect)
-            line.append(None if p.ok else p.tokens.lines[min(p.failed_at, len(p.tokens.lines) - 1)])
+            line.append(p.tokens.lines[min(p.failed_at, len(p.tokens.lines) - 1)])
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs), pa.array(dialect), pa.array(ok), pa.array(line, pa.int32())], ["file_id", "language", "dialect", "ok", "error_line"])
 
 
 def parsed_files(files: DataFrame) -> DataFrame:
-    """(file_id, language, dialect, ok, error_line) for each row with content of a supported language."""
+    """(file_id, language, dialect, ok, error_line) for each row with content of a supported language;
+    dialect is the one that took the file, error_line the line that the furthest one stopped at."""
     judged = files.select(F.col("file_id").cast("long").alias("file_id"), language().alias("language"), "content").where("language is not null and content is not null")
     return judged.mapInArrow(_parse, _OUT)
 
