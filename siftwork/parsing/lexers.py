@@ -42,10 +42,12 @@ class _Kinds(dict):
         self.fixed, self.classify = fixed, classify
 
     def __missing__(self, s: str) -> str:
-        if len(self) > _KEEP:
-            self.clear()
-            self.update(self.fixed)
-        k = self[s] = self.classify(s)
+        k = self.classify(s)
+        if len(s) < 32:  # longer ones, comments and strings, seldom come again
+            if len(self) > _KEEP:
+                self.clear()
+                self.update(self.fixed)
+            self[s] = k
         return k
 
 
@@ -73,6 +75,8 @@ def _classifier(ops: str, binary: str, more=None):
     joined = set(binary.split())
 
     def classify(s: str) -> str:
+        if s.isidentifier():  # keywords are in the table from the start
+            return "ID"
         c = s[0]
         if more and (k := more(s)):
             return k
