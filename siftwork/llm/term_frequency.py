@@ -15,8 +15,9 @@ count once; terms are compared after NFC, trimming and lower-casing; an empty ta
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,10 @@ RECORDS_PER_SALT = 200_000
 
 
 def _normalised(column: pa.Array) -> pa.Array:
-    return pc.utf8_lower(pc.utf8_trim_whitespace(pc.utf8_normalize(column, form="NFC")))
+    """NFC, trimmed, in lower case; each different value of a batch is worked out once."""
+    coded = column.dictionary_encode()
+    values = [None if v is None else (v if v.isascii() else unicodedata.normalize("NFC", v)).strip().lower() for v in coded.dictionary.to_pylist()]
+    return pa.array(values, pa.string()).take(coded.indices)
 
 
 def _normalise(batches):
