@@ -176,7 +176,7 @@ BinOp = BIN | '+' | '-' | '*' | '/' | '&' | '|' | '<' | '>' ['>' ['>']] | '>=' |
 Unary = {'+' | '-' | '!' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await'} Lhs ['++' | '--'] < | TypeParams Unary > ;
 Lhs = Primary { Suffix } ;
 Suffix = '.' AnyName | '?.' ( AnyName | Paren | '[' Expr ']' | STR ) | '[' Expr ']' | Paren | STR < | '!' | TypeArgs (Paren | STR) > ;
-Primary = Name [ArrowTail] | 'async' Name ArrowTail | NUM | STR | 'this' | 'super' | 'null' | 'true' | 'false' | Paren [ ArrowTail <| ':' Type ArrowTail> ] | Array | Object | FuncExpr | Class | 'new' ( Lhs | '.' AnyName ) | 'import' ( Paren | '.' AnyName ) ;
+Primary = Name [ArrowTail] | 'async' ( Name ArrowTail | <[TypeParams]> Paren ( ArrowTail <| ':' Type ArrowTail> ) ) | NUM | STR | 'this' | 'super' | 'null' | 'true' | 'false' | Paren [ ArrowTail <| ':' Type ArrowTail> ] | Array | Object | FuncExpr | Class | 'new' ( Lhs | '.' AnyName ) | 'import' ( Paren | '.' AnyName ) ;
 @FuncExpr = ['async'] 'function' ['*'] [Name] <[TypeParams]> Params <[':' Type]> Block ;
 Paren = '(' [ ParenItem {',' [ParenItem]} ] ')' ;
 ParenItem = '...' Assign <[':' Type]> | Expr1 ;
@@ -304,7 +304,7 @@ PatField = {Attr} ( ['ref'] ['mut'] (ID | NUM) [':' Pats] | '..' ) ;
 )
 
 JAVA = """
-Unit = [ {Annotation} 'package' Qual ';' ] { 'import' ['static'] Qual ['.' '*'] ';' | ';' } { TypeDecl | ';' } ;
+Unit = [ {Annotation} 'package' Qual ';' ] { 'import' ['static'] Qual ['.' BIN] ';' | ';' } { TypeDecl | ';' } ;
 Qual = ID {'.' ID} ;
 Mods = { Annotation | MOD } ;
 Annotation = '@' Qual [ '(' [ AnnItem {',' AnnItem} [','] ] ')' ] ;
@@ -346,7 +346,7 @@ Switch = 'switch' '(' Expr ')' '{' { ( 'case' CaseItem {',' CaseItem} [GUARD Con
 CaseItem = Cond | 'default' | Type (ID | RecordPat) ;
 RecordPat = '(' [ Pattern {',' Pattern} ] ')' ;
 Pattern = ['final'] Type (ID | RecordPat) ;
-Try = 'try' [ '(' Resource {';' Resource} [';'] ')' ] Block { 'catch' '(' {Annotation | 'final'} Type {'|' Type} ID ')' Block } [ 'finally' Block ] ;
+Try = 'try' [ '(' Resource {';' Resource} [';'] ')' ] Block { 'catch' '(' {Annotation | 'final'} Type {BIN Type} ID ')' Block } [ 'finally' Block ] ;
 Resource = {'final'} Type ID '=' Expr | Qual ;
 Expr = Cond [ (ASG | '=') Expr | '->' (Block | Expr) ] ;
 Cond = Bin [ '?' Expr ':' Expr ] ;
@@ -396,7 +396,7 @@ Cond = Bin [ '?' [Expr] ':' Cond ] ;
 Bin = Unary { (BIN | '+' | '-' | '*' | '&') Unary } ;
 Unary = {'+' | '-' | '!' | '~' | '*' | '&' | '++' | '--'} ( Primary {Suffix} | Cast | Sizeof ) ;
 Sizeof = 'sizeof' ( Unary | '(' TypeName ')' ) ;
-Cast = '(' TypeName ')' ( Unary | InitList ) ;
+Cast = '(' TypeName ')' ( Unary | InitList {Suffix} ) ;
 Primary = ID | NUM | STR { STR | ID } | '(' ( Expr | Compound ) ')' ;
 Suffix = '.' ID | '->' ID | '(' [ Assign {',' Assign} ] ')' | '[' Expr ']' | '++' | '--' ;
 """
@@ -409,7 +409,7 @@ Stmt = ( ExprStmt | 'alias' Fname Fname | 'undef' Fname {',' Fname} | ('BEGIN' |
 Fname = ID | CONST | SYM | IVAR ;
 ExprStmt = NotExpr { ('and' | 'or') NotExpr } ;
 NotExpr = {'not'} Multi ;
-Multi = Expr { ',' MlhsItem } [ ('=' | ASG) Multi ] | '*' Expr { ',' MlhsItem } '=' Multi ;
+Multi = Expr { ',' MlhsItem } [ ('=' | ASG) Multi ] | '*' Expr { ',' MlhsItem } ['=' Multi] ;
 MlhsItem = ['*' | SPLAT] Expr ;
 Expr = Arg [ 'rescue1' Arg ] ;
 Arg = Tern [ ('=' | ASG) ArgRhs ] ;

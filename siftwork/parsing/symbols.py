@@ -106,22 +106,25 @@ def _spans(p: Parsed) -> set:
     spans = set(p.spans)
     if p.ok:
         return spans
-    lexer, grammar = _tools(p.dialect)
-    kinds, lines, at = p.tokens.kinds, p.tokens.lines, p.failed_at
-    first = grammar.choices[grammar.start[grammar.rules["$top"][1][0][1]]]
-    for _ in range(20):
-        at += 1
-        while at < len(kinds) - 1 and not (lines[at] != lines[at - 1] and kinds[at] in first and kinds[at] not in ("ID", ";", "NL")):
+    grammar = _tools(p.dialect)[1]
+    kinds, lines, at, last = p.tokens.kinds, p.tokens.lines, p.failed_at, -1
+    head = ["package", "ID", ";"] if p.dialect == "go" else []
+    begins = {"func", "var", "const", "type"} if head else set(grammar.choices[grammar.start[grammar.start_rule]]) - {"ID", ";", "NL"}
+    for _ in range(50):
+        while at > 0 and lines[at - 1] == lines[min(at, len(lines) - 1)]:
+            at -= 1
+        at = max(at, last + 1)
+        while at < len(kinds) - 1 and not ((at == 0 or lines[at] != lines[at - 1]) and kinds[at] in begins):
             at += 1
         if at >= len(kinds) - 1:
             break
-        ok, end, more = parse(grammar, kinds, p.tokens.breaks, at)
-        spans |= more
-        if ok or end <= at:
-            if ok:
-                break
-            continue
-        at = end
+        breaks = None if p.tokens.breaks is None else {i - at for i in p.tokens.breaks if i >= at}
+        ok, end, more = parse(grammar, head + kinds[at:], breaks)
+        shift = at - len(head)
+        spans |= {(tag, a + shift, b + shift) for tag, a, b in more}
+        if ok:
+            break
+        last, at = at, end + shift
     return spans
 
 
