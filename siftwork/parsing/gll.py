@@ -22,6 +22,7 @@ preceded by ``@`` is reported as a span (name, first token, end token).
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 EOF = "$end"
 AUTO_SEMI = ";auto"
@@ -30,6 +31,17 @@ _TOP = "$top"
 _META = re.compile(r"'(?:[^'\\]|\\.)+'|[A-Za-z_]\w*|[=|;()\[\]{}@]")
 
 
+class _Row(dict):
+    """A row of the LL(1) table, worked out as it is used."""
+
+    def __init__(self, grammar: "Grammar", q: int):
+        self.grammar, self.q = grammar, q
+
+    def __missing__(self, k: str):
+        act = self[k] = self.grammar._chain(self.q, k) if k in self.grammar.choices[self.q] else 0
+        return act
+
+
 class Grammar:
     """A compiled grammar.
 
@@ -101,13 +113,10 @@ class Grammar:
         """Puts small rules that do not call themselves into their callers: fewer calls, and
         alternatives that begin alike share their states."""
 
-        def size(x) -> int:
-            return 1 if x[0] in ("t", "n") else size(x[1]) if x[0] in ("opt", "rep") else sum(map(size, x[1]))
-
-        def uses(x, name: str) -> int:
+        def names(x) -> Counter:
             if x[0] in ("t", "n"):
-                return x == ("n", name)
-            return uses(x[1], name) if x[0] in ("opt", "rep") else sum(uses(y, name) for y in x[1])
+                return Counter({x: 1})
+            return names(x[1]) if x[0] in ("opt", "rep") else sum(map(names, x[1]), Counter())
 
         def put(x, name: str, body):
             if x[0] in ("t", "n"):
@@ -116,13 +125,18 @@ class Grammar:
                 return (x[0], put(x[1], name, body))
             return (x[0], [put(y, name, body) for y in x[1]])
 
+        held = {r: names(b) for r, b in self.rules.items()}
         for name in [r for r in self.rules if r not in kept]:
-            body = self.rules[name]
-            n = sum(uses(b, name) for r, b in self.rules.items() if r != name)
-            if uses(body, name) or size(body) > most or size(body) * n > growth:
+            body, own, me = self.rules[name], held[name], ("n", name)
+            n = sum(h[me] for h in held.values())
+            if own[me] or own.total() > most or own.total() * n > growth:
                 continue
-            del self.rules[name]
-            self.rules = {r: put(b, name, body) for r, b in self.rules.items()}
+            del self.rules[name], held[name]
+            for r, h in held.items():
+                if times := h.pop(me, 0):
+                    self.rules[r] = put(self.rules[r], name, body)
+                    for x, c in own.items():
+                        h[x] += c * times
 
     # -- automata and tables ---------------------------------------------------------
 
@@ -263,10 +277,8 @@ class Grammar:
                 if owner[q] == rule and k in row:
                     row[k] = [c for c in row[k] if c[0] == wanted] or row[k]
             self.choices.append(row)
-        # table[q][kind]: (pushes, next state), or None where several choices are open
-        self.table: list[dict[str, tuple | None]] = []
-        for q in range(n):
-            self.table.append({k: self._chain(q, k) for k in self.choices[q]})
+        # table[q][kind]: (pushes, next state), None where several choices are open, 0 where there is none
+        self.table = [_Row(self, q) for q in range(n)]
 
     def _stays(self, q: int, k: str) -> bool:
         return k not in self.greedy.get(self.owner[q], (k,))
@@ -288,7 +300,7 @@ class Grammar:
 
     def conflicts(self) -> list[tuple[str, str]]:
         """(rule, terminal) pairs that need the graph-structured stack."""
-        return sorted({(self.owner[q], k) for q, row in enumerate(self.table) for k, v in row.items() if v is None})
+        return sorted({(self.owner[q], k) for q, row in enumerate(self.table) for k in self.choices[q] if row[k] is None})
 
 
 # A rule call on the stack is a tuple (state to return to, stack below, tag, first token), or
@@ -357,7 +369,7 @@ def parse(g: Grammar, kinds: list[str], breaks: set[int] | None = None, at: int
         k = kinds[i]
         q0, u0 = q, u
         while True:
-            act = table[q].get(k, 0)
+            act = table[q][k]
             if act:
                 pushes, q = act
                 for tag, to in pushes:

@@ -413,7 +413,7 @@ Multi = Expr { ',' MlhsItem } [ ('=' | ASG) Multi ] | '*' Expr { ',' MlhsItem }
 MlhsItem = ['*' | SPLAT] Expr ;
 Expr = Arg [ 'rescue1' Arg ] ;
 Arg = Tern [ ('=' | ASG) ArgRhs ] ;
-ArgRhs = Arg [ 'rescue' Arg ] ;
+ArgRhs = ['*' | SPLAT] Arg [ 'rescue' Arg ] ;
 Tern = Range [ '?' Tern (':' | LABEL) Tern ] ;
 Range = Bin [ ('..' | '...') [Bin] ] ;
 Bin = Unary { (BIN | '+' | '-' | '*' | '**' | '&' | '|' | '<' ) Unary } ;
