@@ -48,13 +48,13 @@ class Grammar:
     prefer maps (rule, terminal) to the rule name that is taken where several would
     fit, for choices that a language settles by fiat (a brace at the start of a
     statement opens a block, not an object).  greedy names rules that go on for as
-    long as they can (an else belongs to the nearest if), except before the one-character
-    terminals after an exclamation mark.
+    long as they can (an else belongs to the nearest if), except before the terminals
+    after an exclamation mark.
     """
 
     def __init__(self, text: str, start: str, prefer: dict[tuple[str, str], str] | None = None, classes: dict[str, list[str]] | None = None, greedy: str = ""):
         words = [w.partition("!") for w in greedy.split()]
-        self.greedy = {w[0]: set(w[2]) for w in words}
+        self.greedy = {w[0]: set(w[2].split(",")) for w in words}
         self.rules: dict[str, tuple] = {}
         self.tagged: set[str] = set()
         self._classes = classes or {}

@@ -502,5 +502,5 @@ def build(language: str) -> Grammar:
     if language == "c":
         return Grammar(C, "Unit", None, None, "Stmt StructSpec EnumSpec Primary")
     if language == "ruby":
-        return Grammar(RUBY, "Program", None, None, "Arg ArgRhs Bin Range Tern Postfix Called Word Plain Command CmdTern Multi Args ArgItem Params Jump Command3 Expr Hash HashItem Then Case")
+        return Grammar(RUBY, "Program", None, None, "Arg ArgRhs Bin Range Tern Postfix Called!do Word!do Plain!do Command!do CmdTern Multi Args ArgItem Params Jump Command3 Expr Hash HashItem Then Case")
     raise ValueError(f"no grammar for {language}")

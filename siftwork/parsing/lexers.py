@@ -8,7 +8,7 @@ that starts no token becomes the kind BAD, which no grammar accepts.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 from .gll import EOF
@@ -17,11 +17,24 @@ _KEEP = 200_000
 _NL, _COMMENT, _LONG = "\n", "//", "STR\n"
 
 
+class Lines:
+    """The line of each token, from the tokens that begin a line."""
+
+    def __init__(self, starts: list[int], size: int):
+        self.starts, self.size = starts, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, i: int) -> int:
+        return bisect_right(self.starts, i if i >= 0 else self.size + i) + 1
+
+
 @dataclass
 class Tokens:
     kinds: list[str] = field(default_factory=list)
     texts: list[str] = field(default_factory=list)
-    lines: list[int] = field(default_factory=list)  # 1-based line on which a token begins
+    lines: list[int] | Lines = field(default_factory=list)  # 1-based line on which a token begins
     #: indexes of tokens that begin a line; None where statements end by token alone
     breaks: set[int] | None = None
     #: (index of the next token, first line, last line, text)
@@ -116,7 +129,7 @@ class BraceLexer:
             kinds = [k for k in found if k and k != _NL]
             kinds.append(EOF)
             return kinds, None
-        kinds, ends, fresh = [], self.ends, False
+        kinds, ends = [], self.ends
         if self.auto == "go":
             for k in found:
                 if k == _NL:
@@ -128,69 +141,46 @@ class BraceLexer:
                 kinds.append(";")
             kinds.append(EOF)
             return kinds, None
-        breaks: set[int] = set()
+        starts: list[int] = []
         for k in found:
             if k == _NL:
-                if not fresh:
-                    if kinds and kinds[-1] in ends:
-                        kinds.append(";")
-                    fresh = True
+                if kinds and kinds[-1] in ends:
+                    kinds.append(";")
+                starts.append(len(kinds))
             elif k:
-                if fresh:
-                    breaks.add(len(kinds))
-                    fresh = False
                 kinds.append(k)
         kinds.append(EOF)
-        return kinds, breaks
+        return kinds, set(starts)
 
     def __call__(self, text: str) -> Tokens:
-        t = Tokens(breaks=set() if self.auto == "js" else None)
-        kinds, texts, lines, table = t.kinds, t.texts, t.lines, self.kinds
-        line, fresh = 1, False
+        kinds, texts, table, ends = [], [], self.kinds, self.ends
+        starts: list[int] = []  # the token that begins each further line
+        comments = []
         special = {_NL, _COMMENT, _LONG}
-        go, js, ends = self.auto == "go", self.auto == "js", self.ends
         for s in self.pattern.findall(text.removeprefix("\ufeff")):
             k = table[s]
             if k in special:
-                if k == _NL:
-                    if kinds and kinds[-1] in ends and (go or not fresh):
-                        kinds.append(";")
-                        texts.append("")
-                        lines.append(line)
-                    line += 1
-                    fresh = True
+                if k == _LONG:
+                    kinds.append("STR")
+                    texts.append(s)
+                    starts += [len(kinds)] * s.count("\n")
                     continue
+                n = s.count("\n")
+                if n and kinds and kinds[-1] in ends:
+                    kinds.append(";")
+                    texts.append("")
                 if k == _COMMENT:
-                    n = s.count("\n")
-                    if n and go and kinds and kinds[-1] in ends:
-                        kinds.append(";")
-                        texts.append("")
-                        lines.append(line)
-                    t.comments.append((len(kinds), line, line + n, s))
-                    line += n
-                    fresh = fresh or n > 0
-                    continue
-                k = "STR"
-                if fresh and js:
-                    t.breaks.add(len(kinds))
-                fresh = False
-                kinds.append(k)
-                texts.append(s)
-                lines.append(line)
-                line += s.count("\n")
+                    comments.append((len(kinds), len(starts) + 1, len(starts) + n + 1, s))
+                starts += [len(kinds)] * n
                 continue
-            if fresh:
-                if js:
-                    t.breaks.add(len(kinds))
-                fresh = False
             kinds.append(k)
             texts.append(s)
-            lines.append(line)
-        if go and kinds and kinds[-1] in ends:
+        if self.auto == "go" and kinds and kinds[-1] in ends:
             kinds.append(";")
             texts.append("")
-            lines.append(line)
-        return t.end(line)
+        kinds.append(EOF)
+        texts.append("")
+        return Tokens(kinds, texts, Lines(starts, len(kinds)), set(starts) if self.auto == "js" else None, comments)
 
 
 # -- fixed values: keywords and operators of the languages -----------------------------
@@ -542,7 +532,3 @@ class RubyLexer:
             if kinds[i] == "|":
                 return i > 0 and kinds[i - 1] in ("do", "{")
         return False
-
-
-def line_start(lines: list[int], line: int) -> int:
-    return bisect_left(lines, line)

@@ -128,7 +128,10 @@ def _spans(p: Parsed) -> set:
     return spans
 
 
-def functions(p: Parsed) -> list[Function]:
+def functions(p: Parsed, documented: bool = False) -> list[Function]:
+    """The functions in the order of their names' places; with documented only those with a comment or docstring."""
+    if documented and p.dialect != "python" and not p.tokens.comments:
+        return []
     t, dialect = p.tokens, p.dialect
     kinds, texts, lines = t.kinds, t.texts, t.lines
     spans = _spans(p)
@@ -200,6 +203,8 @@ def functions(p: Parsed) -> list[Function]:
             body = next((i for i in range(name, b) if kinds[i] == "INDENT"), -1)
             if 0 < body < b - 1 and kinds[body + 1] == "STR" and kinds[body + 2] in ("NL", ";") and texts[body + 1][:1] in "\"'rRuU":
                 doc, style = texts[body + 1], "docstring"
+        if documented and not doc:
+            continue
         stop = next((i for i in range(name, b) if kinds[i] in ("{", "=>", "INDENT") or kinds[i] == "NL" and dialect == "ruby"), b)
         last = b - 1
         while last > a and not texts[last]:
