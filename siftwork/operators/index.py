@@ -48,12 +48,17 @@ def numbered(df: DataFrame, *keys: str, name: str = "doc_id") -> DataFrame:
     return parts.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 
 
+def _tokens_of(strings: str, tokens) -> Column:
+    """The tokens of an array of strings; null strings have none."""
+    return F.flatten(F.transform(F.filter(strings, lambda x: x.isNotNull()), tokens))
+
+
 def code_documents(symbols: DataFrame) -> DataFrame:
     """Symbols with a doc_id as documents: display columns and the four fields."""
     fields = F.array(
         X.identifier_tokens("name"),
         F.coalesce(X.text_tokens(X.searchable_comment(F.col("comment"))), F.array().cast("array<string>")),
-        F.coalesce(F.flatten(F.transform("params", X.identifier_tokens)), F.array().cast("array<string>")),
+        F.coalesce(_tokens_of("params", X.identifier_tokens), F.array().cast("array<string>")),
         X.identifier_tokens("filepath"),
     )
     return symbols.select(
@@ -66,9 +71,9 @@ def doc_documents(sections: DataFrame) -> DataFrame:
     """Sections with a doc_id as documents; the title stands in the hierarchy too and so counts twice."""
     none = F.array().cast("array<string>")
     fields = F.array(
-        F.concat(F.coalesce(X.text_tokens("section_title"), none), F.coalesce(F.flatten(F.transform("heading_hierarchy", X.text_tokens)), none)),
+        F.concat(F.coalesce(X.text_tokens("section_title"), none), F.coalesce(_tokens_of("heading_hierarchy", X.text_tokens), none)),
         F.coalesce(X.text_tokens("content"), none),
-        F.coalesce(F.flatten(F.transform("code_symbols", X.identifier_tokens)), none),
+        F.coalesce(_tokens_of("code_symbols", X.identifier_tokens), none),
         X.identifier_tokens("filepath"),
     )
     return sections.select(

@@ -197,12 +197,12 @@ def coverage(cards: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def cards(symbols: DataFrame, reexports: DataFrame, best: DataFrame, id_column: str, reexport_id: str, *keys: str, budget: Budget = Budget()) -> DataFrame:
+def cards(symbols: DataFrame, reexports: DataFrame, best: DataFrame, id_column: str, reexport_id: str, *keys: str, budget: Budget = Budget(), rules: DataFrame | None = None) -> DataFrame:
     """API and type cards: direct symbols, and re-exported ones at the path of the file that exports them (+0.1)."""
     k = list(keys)
     tests = best.groupBy(*k, "id").agg(F.count("*").alias("tests"))
     direct = surface(symbols, *k)
-    hops = resolved_reexports(reexports, symbols, reexport_id, id_column, *k)
+    hops = resolved_reexports(reexports, symbols, reexport_id, id_column, *k, rules=rules)
     files = reexports.select(*k, F.col(reexport_id).alias("rid"), F.col("filepath").alias("re_path"), F.col("start_line").alias("re_line"))
     target = symbols.withColumn("surface", F.when(F.col("kind") == "Function", "api").when(F.col("kind").isin(*TYPE_KINDS), "type")).where("surface is not null")
     again = hops.join(files, [*k, "rid"]).join(target.withColumnRenamed(id_column, "sid"), [*k, "sid"])
