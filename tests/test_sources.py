@@ -16,7 +16,7 @@ from siftwork.streaming import incremental
 SAMPLE = {
     "src/auth.ts": "/** Checks a token. */\nexport function validateToken(token: string, secret: string): boolean {\n  return token === secret;\n}\n\nexport interface Session {\n  id: string;\n}\n",
     "src/index.ts": "export { validateToken as createSession } from './auth';\nexport type { Session as UserSession } from './auth';\n",
-    "src/session.rs": "/// Holds a session.\npub struct JwtSession {\n    id: u32,\n}\n\nimpl JwtSession {\n    pub fn refresh(&self) -> u32 {\n        self.id\n    }\n}\n",
+    "src/session.rs": "/// Holds entries.\npub struct Ledger {\n    id: u32,\n}\n\nimpl Ledger {\n    pub fn refresh(&self) -> u32 {\n        self.id\n    }\n}\n",
     "examples/demo.ts": "export function demoLogin(token: string) {\n  return token;\n}\n",
     "tests/auth_test.rs": "fn validate_token_works() {\n    assert!(true);\n}\n",
     "docs/guide.md": "# Guide\n\n## Tokens\n\n### Sessions\n\nHow a JWT is checked before a session opens.\n\n```ts\nopen(a, b)\n```\n\n## Refresh token usage\n\nCall it again.\n\n```ts\nrefresh()\n```\n",
