@@ -50,8 +50,8 @@ def blocks(text: str) -> list[tuple[int, int]]:
             out.append((start, end))
             start = -1
         pos += len(line)
-    if start >= 0:
-        out.append((start, end))
+    if start >= 0:  # an open fence ends with its last line that is not blank
+        out.append((start, start + len(text[start:end].rstrip())))
     return out
 
 
