@@ -76,11 +76,12 @@ def _ops(text: str) -> list[str]:
 
 
 #: What most tokens are, tried first: a word that is no prefix of a string, or a lone mark.
-_FREQUENT = r"[A-Za-z_]\w*+(?![\w\"'#$])|[()\[\]{},;\n]"
+_FREQUENT = r"[A-Za-z_][A-Za-z0-9_]*+(?![\w\"'#$])|[()\[\]{},;\n]"
 
 
 def _pattern(*parts: str, ops: str, frequent: str = _FREQUENT) -> re.Pattern:
-    return re.compile("|".join([frequent, *parts, *(re.escape(o) for o in _ops(ops) if len(o) > 1), r"\n|\S"]))
+    """One group, so that findall gives the lexemes; blanks are taken along, not tried one by one."""
+    return re.compile(r"[ \t\r\f]*+(" + "|".join([frequent, *parts, *(re.escape(o) for o in _ops(ops) if len(o) > 1), r"\n|\S"]) + ")")
 
 
 def _classifier(ops: str, binary: str, more=None):
@@ -295,8 +296,8 @@ def c_lexer() -> BraceLexer:
             return _COMMENT
         return ""
 
-    # a directive counts as a comment that begins its line
-    directive = r"(?m:^)[ \t]*#[ \t]*\w*(?:\\\r?\n|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|[^\n\\/]|/(?![/*])|\\)*"
+    # a directive counts as a comment; a # stands nowhere else
+    directive = r"#[ \t]*\w*(?:\\\r?\n|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|[^\n\\/]|/(?![/*])|\\)*"
     fixed = {_NL: _NL} | _words(C_WORDS) | _class(C_TYPES, "TYPE") | _class(C_QUALIFIERS, "QUAL") | _class(C_ASSIGN, "ASG")
     pattern = _pattern(directive, _LINE, _BLOCK, r"(?:u8|[uUL])?" + _DQ, r"[uUL]?" + _SQ, _WORD, _NUMBER, ops=C_OPS)
     return BraceLexer(pattern, _Kinds(fixed, _classifier(C_OPS, C_BINARY, more)))
