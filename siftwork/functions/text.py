@@ -14,6 +14,7 @@ from .stemming import stem
 # The places where an identifier breaks, and what separates words of a text.
 IDENTIFIER_BREAK = r"[_\-./]|(?<=\p{IsLowercase})(?=\p{IsUppercase})|(?<=\p{IsUppercase})(?=\p{IsUppercase}\p{IsLowercase})"
 WORD_BREAK = r"[^\p{IsAlphabetic}\p{N}_]"
+WORD = r"[\p{IsAlphabetic}\p{N}_]+"
 MAX_WORD_BYTES = 80
 
 
@@ -21,10 +22,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _parts(c: Column | str) -> Column:
+    """Parts in lower case, some of them empty: breaks are marked first, so that no part is handled by itself."""
+    return F.split(F.lower(F.regexp_replace(_col(c), IDENTIFIER_BREAK, "\n")), "\n")
+
+
 def split_identifier(c: Column | str) -> Column:
     """Lower-case parts: breaks at _ - . /, before an upper after a lower case letter, and before
     the last upper of an upper run that a lower case letter follows.  Null gives null."""
-    return F.filter(F.transform(F.split(_col(c), IDENTIFIER_BREAK), F.lower), lambda x: x != "")
+    return F.filter(_parts(c), lambda x: x != "")
 
 
 def _long_enough(tokens: Column) -> Column:
@@ -33,13 +39,13 @@ def _long_enough(tokens: Column) -> Column:
 
 def identifier_tokens(c: Column | str) -> Column:
     """Parts of more than one byte."""
-    return _long_enough(split_identifier(c))
+    return _long_enough(_parts(c))
 
 
 def text_tokens(c: Column | str) -> Column:
     """Words of 2 to 79 bytes in lower case; an underscore does not separate."""
-    parts = F.filter(F.split(_col(c), WORD_BREAK), lambda x: (x != "") & (F.octet_length(x) < MAX_WORD_BYTES))
-    return _long_enough(F.transform(parts, F.lower))
+    words = F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD), F.lit(0))
+    return F.filter(words, lambda x: F.octet_length(x).between(2, MAX_WORD_BYTES - 1))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

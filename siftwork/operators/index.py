@@ -82,9 +82,12 @@ def doc_documents(sections: DataFrame) -> DataFrame:
     )
 
 
-def build(documents: DataFrame, stemming: bool = True) -> Index:
+def build(documents: DataFrame, stemming: bool = True, stored: bool = True) -> Index:
     """The index of documents made by code_documents and doc_documents.
 
+    With stored, postings are written to the shared folder once and all else is read from
+    them; without, every table is a plan of its own.
+
     Postings are counted before the one shuffle on (term, document, field), which a hot term
     cannot skew; frequencies follow from it with partial sums.  A null field counts as empty.
     """
@@ -94,9 +97,11 @@ def build(documents: DataFrame, stemming: bool = True) -> Index:
     lengths = one.select("doc_id", "field_id", tokens.alias("tokens"), F.least(F.size("tokens"), F.lit(MAX_FIELD_LENGTH)).alias("dl"))
     postings = lengths.select("doc_id", "field_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "doc_id", "field_id", "dl").agg(F.count("*").cast("int").alias("tf"))
     postings = postings.select("term", "doc_id", "field_id", "tf", "dl")
+    if stored:
+        postings = written(postings, "postings")
+        lengths = postings.groupBy("doc_id", "field_id").agg(F.max("dl").alias("dl"))
     freqs = postings.groupBy("term", "doc_id").agg(F.lit(1)).groupBy("term").agg(F.count("*").alias("df"))
-    bare = one.select("field_id", F.least(F.size("tokens"), F.lit(MAX_FIELD_LENGTH)).alias("dl"))
-    stats = bare.groupBy("field_id").agg(F.sum("dl").cast("long").alias("total_length"), F.count_if(F.col("dl") > 0).alias("doc_count"))
+    stats = lengths.groupBy("field_id").agg(F.sum("dl").cast("long").alias("total_length"), F.count_if(F.col("dl") > 0).alias("doc_count"))
     return Index(postings, freqs, stats, documents.drop("fields"), documents.agg(F.count("*").alias("n")))
 
 

@@ -29,8 +29,8 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return code.unionByName(docs)
 
 
-def _index(spark: SparkSession, folder: str, stemming: bool = False) -> index.Index:
-    return index.build(_documents(spark, folder), stemming)
+def _index(spark: SparkSession, folder: str, stemming: bool = False, stored: bool = True) -> index.Index:
+    return index.build(_documents(spark, folder), stemming, stored)
 
 
 def text_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,16 +43,16 @@ def identifier_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def index_postings(spark: SparkSession, folder: str) -> DataFrame:
-    p = _index(spark, folder).postings
+    p = _index(spark, folder, stored=False).postings
     return p.select("term", "doc_id", F.col("field_id").cast("int").alias("field_id"), F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
 
 
 def index_doc_freqs(spark: SparkSession, folder: str) -> DataFrame:
-    return _index(spark, folder).doc_freqs
+    return _index(spark, folder, stored=False).doc_freqs
 
 
 def index_field_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return _index(spark, folder).field_stats.select(F.col("field_id").cast("int").alias("field_id"), "total_length", "doc_count")
+    return _index(spark, folder, stored=False).field_stats.select(F.col("field_id").cast("int").alias("field_id"), "total_length", "doc_count")
 
 
 def _rounded(df: DataFrame) -> DataFrame:

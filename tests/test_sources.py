@@ -19,7 +19,7 @@ SAMPLE = {
     "src/session.rs": "/// Holds entries.\npub struct Ledger {\n    id: u32,\n}\n\nimpl Ledger {\n    pub fn refresh(&self) -> u32 {\n        self.id\n    }\n}\n",
     "examples/demo.ts": "export function demoLogin(token: string) {\n  return token;\n}\n",
     "tests/auth_test.rs": "fn validate_token_works() {\n    assert!(true);\n}\n",
-    "docs/guide.md": "# Guide\n\n## Tokens\n\n### Sessions\n\nHow a JWT is checked before a session opens.\n\n```ts\nopen(a, b)\n```\n\n## Refresh token usage\n\nCall it again.\n\n```ts\nrefresh()\n```\n",
+    "docs/guide.md": "# Guide\n\n## Tokens\n\n### Opening\n\nHow a JWT is checked before a session opens.\n\n```ts\nopen(a, b)\n```\n\n## Refresh token usage\n\nCall it again.\n\n```ts\nrefresh()\n```\n",
     "notes.txt": "nothing\n",
 }
 
@@ -53,10 +53,10 @@ def test_report(engine):
 
 
 def test_sections_and_ranking(engine):
-    assert [r["section_title"] for r in engine.sections.orderBy("ordinal").collect()] == ["Sessions", "Refresh token usage"]
+    assert [r["section_title"] for r in engine.sections.orderBy("ordinal").collect()] == ["Opening", "Refresh token usage"]
     hits = engine.search("validate token jwt session").collect()
     assert (hits[0]["filepath"], hits[0]["name"]) == ("src/auth.ts", "validateToken")
-    assert any(h["section"] == "Sessions" for h in hits)
+    assert any(h["section"] == "Opening" for h in hits)
 
 
 def test_filters(engine):
@@ -89,7 +89,7 @@ def test_command_line(spark, repo):
     assert len(lines) == 2 and all(len(x) == 1 for x in lines) and "Code" in lines[0]
     out = io.StringIO()
     cli.main(["search", str(repo), "jwt session", "-f", "text", "--type", "doc"], spark, out)
-    assert out.getvalue().startswith('[doc]  docs/guide.md#Sessions  "')
+    assert out.getvalue().startswith('[doc]  docs/guide.md#Opening  "')
     out = io.StringIO()
     cli.main(["overview", str(repo)], spark, out)
     assert "# coverage" in out.getvalue() and '"summary":null' in out.getvalue()
