@@ -82,7 +82,7 @@ def _comment_before(p: Parsed, head: int, start: int) -> str | None:
     i = bisect_right(comments, start, key=lambda c: c[0]) - 1
     while i >= 0 and comments[i][0] >= head:
         at, first, last, _ = comments[i]
-        if last + 1 == lines[at] and (at == 0 or _last_line(p, at - 1) < first):
+        if last + 1 == lines[at] and _before(p, at) < first:
             break
         i -= 1
     if i < 0 or comments[i][0] < head:
@@ -91,12 +91,20 @@ def _comment_before(p: Parsed, head: int, start: int) -> str | None:
     run = [comments[i]]
     while i > 0 and comments[i - 1][0] == at and comments[i - 1][2] + 1 == run[0][1]:
         i -= 1
-        if at > 0 and _last_line(p, at - 1) >= comments[i][1]:
+        if _before(p, at) >= comments[i][1]:
             break
         run.insert(0, comments[i])
     return "\n".join(c[3].strip() for c in run)
 
 
+def _before(p: Parsed, i: int) -> int:
+    """The last line of the token before one; changes of indentation stand on no line of their own."""
+    i -= 1
+    while i >= 0 and p.tokens.kinds[i] in ("INDENT", "DEDENT"):
+        i -= 1
+    return _last_line(p, i) if i >= 0 else 0
+
+
 def _last_line(p: Parsed, i: int) -> int:
     return p.tokens.lines[i] + p.tokens.texts[i].count("\n")
 

@@ -125,3 +125,8 @@ def test_documentation_is_the_comment_right_before_or_the_docstring():
     assert [(f.name, f.doc, f.doc_style) for f in functions(p)] == [("f", "# near\n# too", "comment"), ("g", "'''Inner.'''", "docstring")]
     p = languages.read("class A {\n  x = 1; // no\n  m() {}\n  /** yes */\n  @d() static async n() {}\n}\nconst h = (a) => a;\n", "typescript")
     assert [(f.name, f.kind, f.doc) for f in functions(p)] == [("m", "Method", None), ("n", "Method", "/** yes */"), ("h", "Function", None)]
+
+
+def test_comments_where_the_indentation_changes():
+    p = languages.read("class A:\n    # First.\n    def f(self):\n        pass\n        # in the body\n\n# Second.\ndef g():\n    x = 1  # not\n    def h(): pass\n", "python")
+    assert [(f.name, f.doc) for f in functions(p)] == [("f", "# First."), ("g", "# Second."), ("h", None)]
