@@ -135,7 +135,10 @@ def test_links(symbols: DataFrame, candidates: DataFrame, id_column: str, *keys:
 
 
 def test_cards(best: DataFrame, symbols: DataFrame, id_column: str, *keys: str) -> DataFrame:
-    """Per test: the symbols it covers and the reasons, each once in order, and the best score."""
+    """Per test: the symbols it covers and the reasons, each once in order, and the best score.
+
+    For the report of a repository; test_totals() gathers nothing.
+    """
     names = symbols.select(*keys, F.col(id_column).alias("id"), X.surface_ref("api", "filepath", "name", "start_line").alias("ref"))
     one = best.join(names, [*keys, "id"])
     order = F.array_sort(F.collect_list(F.struct("ref", "rank", "reasons")))
@@ -144,6 +147,12 @@ def test_cards(best: DataFrame, symbols: DataFrame, id_column: str, *keys: str)
     )
 
 
+def test_totals(best: DataFrame, *keys: str) -> DataFrame:
+    """Per test: how many symbols it covers, the reasons in their fixed order, and the best score."""
+    reasons = F.array_compact(F.array(*(F.when(F.bool_or(F.array_contains("reasons", r)), F.lit(r)) for r in LINK_REASONS)))
+    return best.groupBy(*keys, "test_ref", "test_path").agg(F.count("*").alias("symbols"), reasons.alias("reasons"), F.max("score").alias("score"))
+
+
 # -- re-exports ---------------------------------------------------------------------------
 
 

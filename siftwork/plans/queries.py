@@ -117,9 +117,8 @@ def test_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def test_cards(spark: SparkSession, folder: str) -> DataFrame:
-    _, apis, best = _linked(spark, folder)
-    cards = overview.test_cards(best, apis, "symbol_id", "repo_id")
-    return cards.select("repo_id", "test_ref", "test_path", F.size("symbols").alias("symbols"), F.array_join("reasons", ",").alias("reasons"), "score")
+    cards = overview.test_totals(_linked(spark, folder)[2], "repo_id")
+    return cards.withColumn("reasons", F.array_join("reasons", ",")).withColumn("score", F.col("score").cast("double"))
 
 
 def _cards(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -159,10 +158,16 @@ def extracted_reexports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parse_report(spark: SparkSession, folder: str) -> DataFrame:
-    """What a scan of each repository reports."""
+    """What a scan of each repository reports: files by status."""
     files = table(spark, folder, "source_files").select("repo_id", "file_id", "filepath", "content")
-    done = extract.parsed(files, "repo_id", "file_id").select("repo_id", "file_id", "filepath", "status").distinct()
-    return extract.report(done, "repo_id")
+    done = extract.parsed(files, "repo_id", "file_id").select("repo_id", "file_id", "status").distinct()
+    return done.groupBy("repo_id", "status").agg(F.count("*").alias("files"))
+
+
+def parse_problems(spark: SparkSession, folder: str) -> DataFrame:
+    """The files that a scan reports as failed, unsupported or oversized."""
+    files = table(spark, folder, "source_files").select("repo_id", "file_id", "filepath", "content")
+    return extract.parsed(files, "repo_id", "file_id").where("status <> 'Ok'").select("repo_id", "file_id", "filepath", "status").distinct()
 
 
 def report_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -192,7 +197,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_terms, identifier_parts, index_postings, index_doc_freqs, index_field_stats, search_one, search_filtered, search_batch, search_stemmed, query_letters, path_functions, comment_summaries, surface_counts,
-        test_links, test_cards, surface_cards, surface_hints, surface_coverage, reexport_targets, extracted_symbols, extracted_reexports, parse_report, report_totals, markdown_sections, cache_eviction,
+        test_links, test_cards, surface_cards, surface_hints, surface_coverage, reexport_targets, extracted_symbols, extracted_reexports, parse_report, parse_problems, report_totals, markdown_sections, cache_eviction,
     )
 }
 
@@ -258,6 +263,10 @@ t as (select repo_id, symbol_id as test_id, list_distinct({_parts('name')}) as t
 j as (select *, list_filter([case when len(list_filter(words, lambda x: not contains(lower(test_path), x))) = 0 then 'TestPathMatch' end, case when len(list_filter(words, lambda x: not list_contains(test_words, x))) = 0 then 'TestNameMatch' end, case when stem = test_stem then 'FileStemMatch' end, case when dir <> '' and dir = test_dir then 'DirectoryProximity' end], lambda x: x is not null) as reasons from a join t using (repo_id) where symbol_id <> test_id),
 r as (select *, row_number() over (partition by repo_id, symbol_id order by len(reasons) desc, test_path, test_ref, test_id) as rank from j where len(reasons) > 0)
 select repo_id, symbol_id, rank, test_id, array_to_string(reasons, ',') as reasons, len(reasons) + 0.5::double as score from r where rank <= 3""",
+    "test_cards": "",
     "report_totals": "select repo_id, sum(parsed_count)::bigint as parsed, sum(len(unsupported))::bigint as unsupported, sum(len(failed))::bigint as failed, sum(len(oversized))::bigint as oversized from (select distinct on (scan_id) * from parse_reports) group by repo_id",
     "cache_eviction": "with f as (select repo_id, file_id::varchar as path, max(size_bytes) as size, max(committed_at) as touched_at from source_files group by repo_id, file_id), k as (select *, sum(size) over (partition by repo_id order by touched_at desc, path desc rows unbounded preceding)::bigint as kept_size from f) select repo_id, path, size, kept_size from k where kept_size > 20000",
 }
+_LINKS = SQL["test_links"].replace("select repo_id, symbol_id, rank", "select repo_id, test_ref, test_path, reasons as why, len(reasons) + 0.5::double as score, symbol_id, rank").replace(", test_id, array_to_string(reasons, ',') as reasons, len(reasons) + 0.5::double as score from r", " from r")
+SQL["test_cards"] = f"""with l as ({_LINKS}) select repo_id, test_ref, test_path, count(*) as symbols, max(score) as score,
+array_to_string(list_filter(['TestPathMatch', 'TestNameMatch', 'FileStemMatch', 'DirectoryProximity'], lambda x: list_contains(flatten(list(why)), x)), ',') as reasons from l group by repo_id, test_ref, test_path"""
