@@ -18,6 +18,7 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,11 @@ def _normalised(column: pa.Array) -> pa.Array:
 
 
 def _normalise(batches):
+    """term becomes the normalised one; raw keeps the written one where it differs."""
     for b in batches:
-        arrays = [_normalised(b.column(i)) if n == "term" else b.column(i) for i, n in enumerate(b.schema.names)]
+        written, plain = b.column("term"), _normalised(b.column("term"))
+        raw = pc.if_else(pc.equal(written, plain), pa.scalar(None, pa.string()), written)
+        arrays = [plain if n == "term" else raw if n == "raw" else b.column(n) for n in b.schema.names]
         yield pa.RecordBatch.from_arrays(arrays, b.schema.names)
 
 
@@ -82,12 +86,22 @@ def _stack(batches):
     yield full()
 
 
-def suffix_counts(suffixes: DataFrame, salts: int, tasks: int | None = None) -> DataFrame:
-    """(gram array<string>, occurrences, records) from (suffix array<string>, record bigint, weight bigint)."""
-    routed = suffixes.withColumn("head", F.col("suffix")[0]).withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(salts)))
+def suffix_counts(suffixes: DataFrame, salts: int, tasks: int | None = None, identity: tuple[str, ...] = ()) -> DataFrame:
+    """(gram array<string>, occurrences, records) from (suffix array<string>, record bigint, weight bigint).
+
+    With identity, rows that agree in suffix, record, weight and these columns are one row
+    delivered again.  Dropping them, and adding up a record's weights, happen after the one
+    shuffle, in the partitions that it made.
+    """
+    routed = suffixes.withColumn("head", F.col("suffix")[0]).withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(salts)).cast("int"))
     keys = ["head", "salt"]
-    routed = routed.repartition(tasks, *keys) if tasks else routed.repartition(*keys)
-    ordered = routed.sortWithinPartitions("head", "salt", F.desc("suffix")).select("suffix", "record", "weight")
+    # a number that is given is kept: small shuffles would else be read by a task or two, and Python is the slow part
+    tasks = tasks or int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    routed = routed.repartition(tasks, *keys)
+    if identity:
+        routed = routed.dropDuplicates([*keys, "suffix", "record", "weight", *identity])
+    one = routed.groupBy(*keys, "suffix", "record").agg(F.sum("weight").alias("weight"))
+    ordered = one.sortWithinPartitions("head", "salt", F.desc("suffix")).select("suffix", "record", "weight")
     parts = ordered.mapInArrow(_stack, "gram array<string>, occurrences bigint, records bigint")
     return parts.groupBy("gram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
@@ -115,8 +129,10 @@ def term_frequencies(postings: DataFrame, rare: int = 3, common: float = 0.3) ->
     rows = postings.select("build_id", "doc_id", "field_id", "term", "segment_no", "tf")
     total = rows.agg(F.count_distinct("doc_id").alias("total"))
     n = total.first()["total"]
-    once = rows.where("term is not null and doc_id is not null and tf is not null").distinct()
-    plain = once.select("term", "doc_id", F.col("tf").cast("long").alias("tf")).mapInArrow(_normalise, "term string, doc_id bigint, tf bigint")
-    counts = suffix_counts(plain.select(F.array("term").alias("suffix"), F.col("doc_id").alias("record"), F.col("tf").alias("weight")), _salts(n))
+    rows = rows.where("term is not null and doc_id is not null and tf is not null").withColumn("raw", F.lit(None).cast("string"))
+    rows = rows.select("build_id", F.col("doc_id").cast("long").alias("doc_id"), F.col("field_id").cast("int").alias("field_id"), "term", F.col("segment_no").cast("int").alias("segment_no"), F.col("tf").cast("long").alias("tf"), "raw")
+    plain = rows.mapInArrow(_normalise, rows.schema)
+    suffixes = plain.select(F.array("term").alias("suffix"), F.col("doc_id").alias("record"), F.col("tf").alias("weight"), "build_id", "field_id", "segment_no", "raw")
+    counts = suffix_counts(suffixes, _salts(n), identity=("build_id", "field_id", "segment_no", "raw"))
     mark = F.when(F.col("occurrences") <= rare, "rare").when(F.col("records") >= F.lit(common) * F.lit(n), "common")
     return counts.select(F.col("gram")[0].alias("term"), "occurrences", "records", mark.alias("mark"))
