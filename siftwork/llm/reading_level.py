@@ -221,7 +221,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model | None:
     rated = labels.where("band between 1 and 4 and doc_id is not null").select("label_id", "doc_id", "rater_id", "band").distinct()
     by = rated.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("band").alias("level"), F.count("*").cast("double").alias("votes"))
     sample = by.orderBy(F.xxhash64("doc_id")).limit(MAX_LABELLED)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("trim(text) <> ''").join(sample.select("doc_id"), "doc_id", "left_semi")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("trim(text) <> ''").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")  # MAX_LABELLED ids at most
     rows = texts.mapInArrow(_featurise, "doc_id bigint, x array<double>").dropDuplicates(["doc_id"]).join(sample, "doc_id").orderBy("doc_id").collect()
     if not rows:
         return None
