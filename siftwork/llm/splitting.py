@@ -28,11 +28,13 @@ _SPACE = re.compile(r"\s+")
 def blocks(text: str) -> list[tuple[int, int]]:
     """(start, end) of the blocks; the end leaves out the last line break."""
     out: list[tuple[int, int]] = []
-    pos, start, end, fence = 0, -1, -1, False
-    for line in text.splitlines(keepends=True) if "\r" not in text.replace("\r\n", "") else re.findall(r"[^\n]*\n|[^\n]+", text):
+    pos, start, end, solid, fence = 0, -1, -1, -1, False
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
         bare = line.rstrip("\r\n")
         stop = pos + len(bare)
         mark = bare.lstrip().startswith("```")
+        if bare.strip():
+            solid = stop
         if fence:
             end = stop
             if mark:
@@ -51,7 +53,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
             start = -1
         pos += len(line)
     if start >= 0:  # an open fence ends with its last line that is not blank
-        out.append((start, start + len(text[start:end].rstrip())))
+        out.append((start, solid if fence else end))
     return out
 
 
@@ -61,7 +63,8 @@ def _lines(text: str, a: int, b: int) -> list[tuple[int, int]]:
         e = text.find("\n", pos, b)
         e = b if e < 0 else e
         stop = e - (e > pos and text[e - 1] == "\r")
-        out.append((pos, stop))
+        if stop > pos:
+            out.append((pos, stop))
         pos = e + 1
     return out
 
