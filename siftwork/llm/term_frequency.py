@@ -68,6 +68,10 @@ def _stack(batches):
 
     for b in batches:
         for suffix, record, weight in zip(*(b.column(c).to_pylist() for c in ("suffix", "record", "weight"))):
+            if suffix == terms:  # most rows go on with the suffix before them
+                counts[-1] += weight
+                seen[-1].add(record)
+                continue
             n = len(suffix)
             same = 0
             while same < len(terms) and same < n and terms[same] == suffix[same]:
