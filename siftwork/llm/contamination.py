@@ -3,7 +3,8 @@
 Items are taken in blocks whose size is checked, so what is broadcast never grows with the
 corpus.  For a block, one pass over the documents counts in how many of them each n-gram of
 the items occurs; the rare ones of an item become its seeds.  A second pass joins documents
-to items by seeds and aligns each pair at once by Smith-Waterman over words, passage by
+to items by seeds, or whatever the counts where the n-grams that both have lie over enough of
+the item for the wanted share, and aligns each pair at once by Smith-Waterman over words, passage by
 passage, until no passage is left that is long enough.  A pair leaks if the passages
 together hold the wanted share of the item's own words.  Nothing but counts is shuffled.
 
@@ -31,6 +32,8 @@ SHARE = 0.4
 #: A gram is rare if at most this share of the documents has it, and not too many items do.
 RARE_SHARE, RARE_ITEMS = 0.002, 2
 MIN_SEEDS = 3
+#: Words on either side of an n-gram of the document that may be matched with it.
+REACH = 4
 #: Smith-Waterman: scores of equal and unequal words and of a gap; words that a passage must match.
 MATCH, MISMATCH, GAP, MIN_MATCHED = 2.0, -3.0, -2.0, 8
 
@@ -114,16 +117,19 @@ class _Block:
         if base**N >= 2**62:
             raise ValueError("too many different words in a block of items")
         self.base = base
-        codes, owners = [], []
+        codes, owners, times = [], [], []
         for k, item in enumerate(self.items):
-            c = np.unique(self.grams(item))
+            c, n = np.unique(self.grams(item), return_counts=True)
             codes.append(c)
             owners.append(np.full(len(c), k))
-        codes, owners = np.concatenate(codes or [np.empty(0, np.int64)]), np.concatenate(owners or [np.empty(0, np.int64)])
+            times.append(n)
+        codes, owners, times = (np.concatenate(x or [np.empty(0, np.int64)]) for x in (codes, owners, times))
         order = np.lexsort((owners, codes))
-        self.pair_codes, self.pair_owners = codes[order], owners[order]
+        self.pair_codes, self.pair_owners, self.pair_times = codes[order], owners[order], times[order]
         self.codes, self.starts = np.unique(self.pair_codes, return_index=True)
         self.shared = np.diff(np.append(self.starts, len(self.pair_codes)))
+        self.lengths = np.array([len(x) for x in self.items], np.int64)
+        self.places = [np.searchsorted(self.codes, self.grams(x)) for x in self.items]
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         """Codes of the n-grams; those with a word that no item has are negative."""
@@ -149,6 +155,18 @@ class _Block:
         return at[self.codes[at] == c] if len(self.codes) else at[:0]
 
 
+    def pairs(self, found: np.ndarray) -> np.ndarray:
+        """Indexes of the (gram, item) pairs of the grams at those indexes into codes."""
+        n = self.shared[found]
+        return np.repeat(self.starts[found] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+    def near(self, k: int, found: np.ndarray) -> np.ndarray:
+        """Which words of an item lie in one of its grams that were found, or within REACH of one."""
+        at, n = np.nonzero(found[self.places[k]])[0], int(self.lengths[k])
+        steps = np.bincount(np.maximum(at - REACH, 0), minlength=n + 1) - np.bincount(np.minimum(at + N + REACH, n), minlength=n + 1)
+        return np.cumsum(steps[:n]) > 0
+
+
 def _count(block):
     def run(batches):
         b = block.value
@@ -167,28 +185,33 @@ def _count(block):
 def _join(block, seeds, share: float):
     def run(batches):
         b, seed = block.value, seeds.value
+        least = np.minimum(MIN_SEEDS, b.lengths - N + 1)
+        found, known = np.zeros(len(b.codes), bool), np.zeros(len(b.numbers), bool)
         for batch in batches:
             docs, items, shares = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = b.encode(text)
-                hits: dict[int, int] = {}
-                for g in b.find(ids):
-                    for p in range(b.starts[g], b.starts[g] + b.shared[g]):
-                        if seed[p]:
-                            k = int(b.pair_owners[p])
-                            hits[k] = hits.get(k, 0) + 1
-                for k, n in hits.items():
+                grams = b.find(ids)
+                pairs = b.pairs(grams)
+                owners = b.pair_owners[pairs]
+                seeded = np.bincount(owners[seed[pairs]], minlength=len(b.items)) >= least
+                wide = np.bincount(owners, b.pair_times[pairs], len(b.items)) * (N + 2 * REACH) >= share * b.lengths
+                has = ids[ids >= 0]
+                found[grams] = known[has] = True
+                for k in np.nonzero((seeded | wide) & (np.bincount(owners, minlength=len(b.items)) > 0))[0]:
                     item = b.items[k]
-                    if n < min(MIN_SEEDS, len(item) - N + 1):
-                        continue
                     # a pair can only reach the share if the document has so many of the item's words
-                    if np.isin(item, ids).sum() < share * len(item):
+                    held = known[item]
+                    if held.sum() < share * len(item):
+                        continue
+                    if not seeded[k] and (held & b.near(k, found)).sum() < share * len(item):
                         continue
                     got = float(align(item, ids).sum()) / len(item)
                     if got >= share:
                         docs.append(doc_id)
                         items.append(int(b.ids[k]))
                         shares.append(got)
+                found[grams] = known[has] = False
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int32()), pa.array(shares, pa.float64())], ["doc_id", "item_id", "share"])
 
     return run
@@ -223,17 +246,18 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
 
 def _seeds(b: _Block, df: np.ndarray, total: int) -> np.ndarray:
     """Of each (gram, item) pair whether it is a seed: the gram is rare, or among the rarer half
-    of the item's grams (so that an item that leaked into very many documents keeps its seeds)."""
+    of the item's grams, or of those that occur at all (so that an item that leaked into very
+    many documents keeps its seeds)."""
     per_pair = np.repeat(df, b.shared)
     items = np.repeat(b.shared, b.shared)
     seed = (per_pair <= max(5.0, RARE_SHARE * total)) & (items <= RARE_ITEMS)
     order = np.lexsort((per_pair, items, b.pair_owners))
-    owners = b.pair_owners[order]
-    begin = np.searchsorted(owners, owners)
-    size = np.bincount(b.pair_owners, minlength=len(b.items))[owners] if len(owners) else owners
-    half = np.zeros(len(seed), bool)
-    half[order] = (np.arange(len(order)) - begin) * 2 < size
-    return seed | half
+    for ranked in (order, order[per_pair[order] > 0]):
+        owners = b.pair_owners[ranked]
+        begin = np.searchsorted(owners, owners)
+        size = np.bincount(owners, minlength=len(b.items))[owners]
+        seed[ranked] |= (np.arange(len(ranked)) - begin) * 2 < size
+    return seed
 
 
 def leaked_items(found: DataFrame, items: DataFrame) -> DataFrame:

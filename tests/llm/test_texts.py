@@ -76,6 +76,14 @@ def test_an_item_in_every_document_keeps_its_seeds(spark):
     assert C.leaks(docs, items(spark, (1, own), (2, text(9)))).count() == 60
 
 
+def test_a_passage_of_two_fifths_in_many_documents_is_found(spark):
+    own = {i: [f"w{i}x{k}" for k in range(100)] for i in (1, 2)}
+    rows = [(100 * i + n, f"doc {n} " + " ".join(w[:45]), "s") for i, w in own.items() for n in range(20)]
+    rows += [(1000, " ".join(own[2][43:]), "s")]  # the other grams of item 2 occur as well, and more rarely
+    got = {(r["doc_id"], r["item_id"]) for r in C.leaks(documents(spark, *rows), items(spark, *((i, " ".join(w)) for i, w in own.items()))).collect()}
+    assert got == {(100 * i + n, i) for i in own for n in range(20)} | {(1000, 2)}
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     its = items(spark, *((i, text(i)) for i in range(12)))
     docs = documents(spark, *((i, text(i) + " end", "s") for i in range(0, 12, 2)))
