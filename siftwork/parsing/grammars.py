@@ -478,11 +478,20 @@ def _js(text: str, typescript: bool) -> str:
     return re.sub("\x01[^\x01\x02]*\x02", " ", text)
 
 
-def build(language: str) -> Grammar:
+#: What may follow a syntax error inside a declaration, where a file as such cannot go on.
+_REST = {"go": "Rest = { [TopDecl] ';' } ;\n", "java": "Rest = {Member} ;\n", "javascript": "Rest = {Member} ;\n", "typescript": "Rest = {Member} ;\n"}
+
+
+def build(language: str, rest: bool = False) -> Grammar | None:
+    """The grammar of a file, or with rest that of what goes on after an error, if it is another."""
     from . import lexers as L
 
+    if rest and language not in _REST:
+        return None
+    more = _REST[language] if rest else ""
+
     if language == "go":
-        return Grammar(GO, "File", None, None, "Operand OperandX")
+        return Grammar(GO + more, "Rest" if rest else "File", None, None, "Operand OperandX")
     if language == "python":
         return Grammar(PYTHON, "File")
     if language in ("javascript", "typescript"):
@@ -490,7 +499,7 @@ def build(language: str) -> Grammar:
         context = (L.JS_CONTEXT + " " + (L.TS_CONTEXT if ts else "")).split()
         words = (L.JS_WORDS + " " + (L.TS_WORDS if ts else "")).split()
         prefer = {("Stmt", "{"): "Block", ("Stmt", "function"): "Func", ("Stmt", "class"): "Class", ("Stmt", "@"): "Class", ("ArrowBody", "{"): "Block", ("FuncEnd", "{"): "Block", ("Export", "function"): "Func", ("Export", "class"): "Class"}
-        return Grammar(_js(_JS, ts) + (_TS if ts else ""), "Program", prefer, {"ASI": [AUTO_SEMI], "CONTEXT": context, "WORD": words}, "Bin If Do Expr TypeOp Postfix Union Inter Lhs!<")
+        return Grammar(_js(_JS, ts) + (_TS if ts else "") + more, "Rest" if rest else "Program", prefer, {"ASI": [AUTO_SEMI], "CONTEXT": context, "WORD": words}, "Bin If Do Expr TypeOp Postfix Union Inter Lhs!<")
     if language == "rust":
         every = [*L.RUST_WORDS.split(), *(o for o in L.RUST_OPS.split() if o not in ("(", ")", "[", "]", "{", "}") and o not in L.RUST_BINARY.split()), "BIN", "ID", "NUM", "STR", "LIFE"]
         like = "{ unsafe async loop while for if match LIFE".split()
@@ -498,7 +507,7 @@ def build(language: str) -> Grammar:
         return Grammar(RUST, "File", prefer, {"ANYTOKEN": sorted(set(every)), "UNIONWORD": ["union-word"]}, "Bin BinX Expr ExprX Jump JumpX Type Bounds Pats Seg")
     if language == "java":
         mods = "public protected private abstract static final native synchronized transient volatile strictfp default".split()
-        return Grammar(JAVA, "Unit", {("BlockStmt", "PRIM"): "Local", ("BlockStmt", "switch"): "Stmt", ("Stmt", "switch"): "Switch"}, {"ID": ["ID", "record"], "MOD": mods, "PERMITS": ["ID"], "YIELD": ["ID"], "GUARD": ["ID"]}, "Bin Cond Expr Stmt Suffix BaseType Type")
+        return Grammar(JAVA + more, "Rest" if rest else "Unit", {("BlockStmt", "PRIM"): "Local", ("BlockStmt", "switch"): "Stmt", ("Stmt", "switch"): "Switch"}, {"ID": ["ID", "record"], "MOD": mods, "PERMITS": ["ID"], "YIELD": ["ID"], "GUARD": ["ID"]}, "Bin Cond Expr Stmt Suffix BaseType Type")
     if language == "c":
         return Grammar(C, "Unit", None, None, "Stmt StructSpec EnumSpec Primary")
     if language == "ruby":

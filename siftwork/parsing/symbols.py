@@ -1,20 +1,26 @@
 """Functions and methods of a parsed file, with the comment or docstring of each.
 
 Works on whatever was recognised: after a syntax error the parser goes on at the next
-line that can begin a declaration, so functions of broken files are found too.
+line that can begin a declaration or a member of a class, up to the end of the file, so
+functions of broken files are found too.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from dataclasses import dataclass
+from functools import cache
 
-from .gll import EOF, parse
+from . import grammars
+from .gll import EOF, Grammar, parse
 from .languages import Parsed, _tools
 
 _MODIFIERS = frozenset(
     "export default async const let var declare public private protected static abstract readonly override get set final native synchronized transient volatile strictfp pub unsafe extern QUAL".split()
 )
+#: Before a bracket these begin a statement, though a JavaScript method may be called so.
+_CONTROL = frozenset("if for while switch catch with function await return super this import".split())
+_MEMBER_WORDS = frozenset("static async get set public private protected readonly abstract override @ *".split())
 _OPENERS = {")": "(", "]": "[", "}": "{"}
 
 
@@ -109,6 +115,26 @@ def _last_line(p: Parsed, i: int) -> int:
     return p.tokens.lines[i] + p.tokens.texts[i].count("\n")
 
 
+@cache
+def _rest(dialect: str) -> Grammar | None:
+    return grammars.build(dialect, rest=True)
+
+
+def _attempts(dialect: str, kinds: list[str], at: int, begins: set[str]) -> list[Grammar]:
+    """The grammars that may go on at the first token of a line."""
+    k, rest = kinds[at], _rest(dialect)
+    if dialect == "go":
+        return [rest] if k in ("func", "var", "const", "type") else []
+    if dialect == "java":
+        if k in ("import", "package"):
+            return [_tools(dialect)[1]]
+        return [rest] if k not in (";", "{", "}") and k in rest.choices[rest.start[rest.start_rule]] else []
+    out = [_tools(dialect)[1]] if k in begins else []
+    if rest and k not in _CONTROL and (k in _MEMBER_WORDS or kinds[at + 1] in ("(", "<", "?", "!")):
+        out.append(rest)
+    return out
+
+
 def _spans(p: Parsed) -> set:
     """The spans of the whole file, going on after each syntax error."""
     spans = set(p.spans)
@@ -116,24 +142,28 @@ def _spans(p: Parsed) -> set:
         return spans
     grammar = _tools(p.dialect)[1]
     kinds, lines, at, last = p.tokens.kinds, p.tokens.lines, p.failed_at, -1
-    head = ["package", "ID", ";"] if p.dialect == "go" else []
-    begins = {"func", "var", "const", "type"} if head else set(grammar.choices[grammar.start[grammar.start_rule]]) - {"ID", ";", "NL"}
-    for _ in range(50):
-        while at > 0 and lines[at - 1] == lines[min(at, len(lines) - 1)]:
+    begins = set(grammar.choices[grammar.start[grammar.start_rule]]) - {"ID", ";", "NL"}
+    while True:
+        at = min(at, len(kinds) - 1)
+        while at > last + 1 and lines[at - 1] == lines[at]:
             at -= 1
         at = max(at, last + 1)
-        while at < len(kinds) - 1 and not ((at == 0 or lines[at] != lines[at - 1]) and kinds[at] in begins):
+        while at < len(kinds) - 1 and not ((at == 0 or lines[at] != lines[at - 1]) and (tries := _attempts(p.dialect, kinds, at, begins))):
             at += 1
         if at >= len(kinds) - 1:
-            break
-        breaks = None if p.tokens.breaks is None else {i - at for i in p.tokens.breaks if i >= at}
-        ok, end, more = parse(grammar, head + kinds[at:], breaks)
-        shift = at - len(head)
-        spans |= {(tag, a + shift, b + shift) for tag, a, b in more}
+            return spans
+        best = None
+        for g in tries:
+            ok, end, more = parse(g, kinds, p.tokens.breaks, at)
+            if best is None or end > best[1]:
+                best = ok, end, more, g
+        ok, end, more, g = best
+        if g is not grammar and p.dialect in ("javascript", "typescript"):  # a call, or a statement, is no method
+            more = {(tag, a, b) for tag, a, b in more if tag != "Method" or kinds[b - 1] == "}" and kinds[a - 1] not in _CONTROL}
+        spans |= more
         if ok:
-            break
-        last, at = at, end + shift
-    return spans
+            return spans
+        last, at = at, end
 
 
 def functions(p: Parsed, documented: bool = False) -> list[Function]:

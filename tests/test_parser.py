@@ -120,6 +120,23 @@ def test_functions_of_a_broken_file():
     assert [(f.name, f.start_line, f.doc) for f in functions(p)] == [("f", 4, "// Doc of f."), ("g", 11, "// Doc of g.")]
 
 
+CONFLICT = "<<<<<<< ours\n    return 1;\n=======\n    return 2;\n>>>>>>> theirs\n"
+
+
+def test_methods_after_a_conflict_in_the_first_of_a_class():
+    text = "package a;\n\nclass A {\n  // Doc of f.\n  int f() {\n" + CONFLICT + "  }\n\n  // Doc of g.\n  public static int g(int x) {\n    h(x);\n    return x;\n  }\n\n  // Doc of k.\n  List<T> k() { return null; }\n}\n\nclass B {\n  // Doc of m.\n  void m() { }\n}\n"
+    assert [(f.name, f.doc) for f in functions(languages.read(text, "java"))] == [(n, f"// Doc of {n}.") for n in "gkm"]
+    text = "class A {\n  // Doc of f.\n  f(a: number) {\n" + CONFLICT + "    // No method.\n    call(a);\n    // No method either.\n    if (a) { b(); }\n  }\n\n  // Doc of g.\n  g(x: string): number {\n    return 1;\n  }\n\n  // Doc of k.\n  private static async k() { if (a) { b(); } }\n}\n\n// Doc of m.\nexport function m() { }\n"
+    assert [(f.name, f.doc) for f in functions(languages.read(text, "typescript"))] == [(n, f"// Doc of {n}.") for n in "gkm"]
+    text = text.replace(": number", "").replace(": string", "").replace("private ", "")
+    assert [(f.name, f.doc) for f in functions(languages.read(text, "javascript"))] == [(n, f"// Doc of {n}.") for n in "gkm"]
+
+
+def test_recovery_goes_on_to_the_end_of_the_file():
+    text = "package a\n\n" + "".join(f"func f{i}() {{\n\tx = = 1\n}}\n\n" for i in range(60)) + "// Doc of g.\nfunc g() {\n}\n"
+    assert [(f.name, f.doc) for f in functions(languages.read(text, "go"), documented=True)] == [("g", "// Doc of g.")]
+
+
 def test_documentation_is_the_comment_right_before_or_the_docstring():
     p = languages.read("# far\n\n# near\n# too\n@d\ndef f():\n    pass\n\ndef g():\n    '''Inner.'''\n", "python")
     assert [(f.name, f.doc, f.doc_style) for f in functions(p)] == [("f", "# near\n# too", "comment"), ("g", "'''Inner.'''", "docstring")]
