@@ -36,6 +36,9 @@ MIN_SEEDS = 3
 REACH = 4
 #: Smith-Waterman: scores of equal and unequal words and of a gap; words that a passage must match.
 MATCH, MISMATCH, GAP, MIN_MATCHED = 2.0, -3.0, -2.0, 8
+#: The score at which the search for passages ends in leaks(): that of MIN_SEEDS n-grams in a row, so
+#: that of edited passages the words count and not the score.
+FLOOR = MATCH * (MIN_SEEDS + N - 1)
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+|\n+")
@@ -62,16 +65,17 @@ def own_words(items: DataFrame, shared_by: int = 3) -> DataFrame:
     return rest.select("item_id", F.array_join(F.slice("parts", F.col("first") + 1, F.greatest(F.size("parts"), F.lit(1))), "\n").alias("text"))
 
 
-def align(item: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def align(item: np.ndarray, doc: np.ndarray, floor: float = MATCH * MIN_MATCHED) -> np.ndarray:
     """Which words of the item (as numbers) are matched in passages of the document.
 
     Smith-Waterman, best passage first; the words of a passage are then taken out on both
-    sides, and the search goes on until no passage matches MIN_MATCHED words.
+    sides, and the search goes on until no passage scores the floor.  Only passages that match
+    MIN_MATCHED words count.
     """
     taken = np.zeros(len(item), bool)
     item, doc = item.copy(), doc.copy()
     steps = np.arange(len(doc) + 1) * -GAP
-    for _ in range(len(item) // MIN_MATCHED + 1):
+    while True:
         h = np.zeros((len(item) + 1, len(doc) + 1))
         for i in range(len(item)):
             if item[i] < 0:
@@ -83,7 +87,7 @@ def align(item: np.ndarray, doc: np.ndarray) -> np.ndarray:
             np.maximum.accumulate(row, out=row)
             row -= steps
         i, j = np.unravel_index(int(h.argmax()), h.shape)
-        if h[i, j] < MATCH * MIN_MATCHED:
+        if h[i, j] < floor:
             break
         end, matched = j, []
         while h[i, j] > 0:
@@ -206,7 +210,7 @@ def _join(block, seeds, share: float):
                         continue
                     if not seeded[k] and (held & b.near(k, found)).sum() < share * len(item):
                         continue
-                    got = float(align(item, ids).sum()) / len(item)
+                    got = float(align(item, ids, FLOOR).sum()) / len(item)
                     if got >= share:
                         docs.append(doc_id)
                         items.append(int(b.ids[k]))

@@ -84,6 +84,15 @@ def test_a_passage_of_two_fifths_in_many_documents_is_found(spark):
     assert got == {(100 * i + n, i) for i in own for n in range(20)} | {(1000, 2)}
 
 
+def test_edited_sentences_far_apart_count_by_their_words(spark):
+    own = [f"w{k}" for k in range(60)]
+    edited = [[f"new{a}x{k}" if k in (3, 7, 11) else w for k, w in enumerate(own[a : a + 15])] for a in (5, 40)]
+    text = " ".join([*edited[0], *["filler"] * 30, *edited[1]])
+    few = " ".join([*own[:7], *["filler"] * 30, *own[10:17], *["filler"] * 30, *own[20:27], *["filler"] * 30, *own[30:37]])
+    got = C.leaks(documents(spark, (1, text, "s"), (2, few, "s")), items(spark, (1, " ".join(own)))).collect()
+    assert [(r["doc_id"], r["item_id"], r["share"]) for r in got] == [(1, 1, 0.4)]
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     its = items(spark, *((i, text(i)) for i in range(12)))
     docs = documents(spark, *((i, text(i) + " end", "s") for i in range(0, 12, 2)))
