@@ -4,11 +4,13 @@ A recursive hierarchy of separators: blocks (runs of non-blank lines, and fenced
 with its fences), then lines, sentences, words, characters.  A part that fits is kept
 whole; one that does not is cut at the next finer level.  Parts are packed greedily up to
 the limit, and a piece begins with up to overlap characters from the end of the one
-before, cut back to the start of a line or word where there is one.
+before, cut back to the start of a line or word where there is one.  Runs without a space are
+cut so that a piece has room for the whole overlap, and so are parts that would fill one.
 
 A map over the rows that are too long: nothing is shuffled.  Defined results: null, empty and
 short contents are not cut (pieces() returns them as one piece); null start_line gives
-null lines; repeated rows are cut once; further columns are ignored.
+null lines; repeated rows are cut once; further columns are ignored; a content over the limit
+of nothing but white space is cut at characters and counts as block.
 """
 
 from __future__ import annotations
@@ -81,8 +83,8 @@ def _between(text: str, a: int, b: int, gap: re.Pattern) -> list[tuple[int, int]
 
 
 def _parts(text: str, a: int, b: int, level: int, limit: int) -> list[tuple[int, int, int]]:
-    """(start, end, level at which it was cut out): parts that each fit into the limit."""
-    cut = (None, _lines, lambda t, x, y: _between(t, x, y, _SENTENCE), lambda t, x, y: _between(t, x, y, _SPACE), lambda t, x, y: [(i, min(i + limit, y)) for i in range(x, y, limit)])
+    """(start, end, level at which it was cut out): parts that fit into the limit, or hold no space."""
+    cut = (None, _lines, lambda t, x, y: _between(t, x, y, _SENTENCE), lambda t, x, y: _between(t, x, y, _SPACE), lambda t, x, y: [(x, y)])
     out = []
     for s, e in blocks(text) if level == 0 else cut[level](text, a, b):
         if e - s <= limit or level == 4:
@@ -110,10 +112,22 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     pieces: list[tuple[int, int, int, int]] = []
     start = end = fresh = -1
     level = again = 0
-    for s, e, lv in _parts(text, 0, len(text), 0, limit):
+    todo = _parts(text, 0, len(text), 0, limit)[::-1]
+    while todo:
+        s, e, lv = todo.pop()
         if end >= 0 and e - start <= limit:
             end, level = e, max(level, lv)
             continue
+        # what the part may hold where it begins a piece: the overlap comes first, unless more than that is blank
+        lead = s - end + overlap if end >= 0 and overlap and s - end <= overlap else 0
+        room = limit - lead if lead < limit else limit
+        if e - s > room:
+            if lv < 4:
+                todo.extend(_parts(text, s, e, lv + 1, room)[::-1])
+                s, e, lv = todo.pop()
+            if e - s > room:
+                todo.append((s + room, e, lv))
+                e = s + room
         if end >= 0:
             pieces.append((start, end, again, level))
             keep = min(overlap, limit - (e - s) - (s - end))
@@ -124,6 +138,8 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
         fresh, end, level = s, e, lv
     if end >= 0:
         pieces.append((start, end, again, level))
+    elif len(text) > limit:  # nothing but white space
+        pieces = [(i, min(i + limit, len(text)), 0, 0) for i in range(0, len(text), limit)]
     return [(a, b, n, _LEVELS[lv]) for a, b, n, lv in pieces]
 
 
@@ -156,8 +172,9 @@ def pieces(sections: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> D
 
 
 def cut_kinds(sections: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(section_id, cut_kind): the deepest level that a section needed: block, line or inside."""
+    """(section_id, cut_kind): the deepest level that a section needed to fit into the limit, whatever
+    the overlap: block, line or inside."""
     depth = F.max(F.array_position(F.array(*map(F.lit, _LEVELS)), F.col("level")))
-    by = pieces(sections, limit, overlap).groupBy("section_id").agg(depth.alias("depth"))
+    by = pieces(sections, limit, 0).groupBy("section_id").agg(depth.alias("depth"))
     kind = F.when(F.col("depth") <= 1, "block").when(F.col("depth") == 2, "line").otherwise("inside")
     return by.select("section_id", kind.alias("cut_kind"))

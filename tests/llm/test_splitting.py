@@ -76,6 +76,29 @@ def test_cuts_are_natural():
         S.split("x", 10, 10)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 90), st.integers(101, 700), st.sampled_from(["", " ", "\n", "\n\n"]))
+def test_runs_without_a_space_overlap_in_full(before, run, gap):
+    text = "ab " * (before // 3) + gap + "x" * run
+    got = check(text, 100, 20)
+    inside = [n for (a, b, n, _), last in zip(got[1:], got) if last[1] > text.index("x") + 20]
+    assert inside and all(n == 20 for n in inside)
+    assert all(n > 0 for _, _, n, _ in got[1:])
+
+
+def test_parts_that_would_fill_a_piece_leave_room_for_the_overlap():
+    words = " ".join(f"w{i:03}" for i in range(19))
+    got = check("\n\n".join([words] * 4), 100, 20)
+    assert all(n >= 9 for _, _, n, _ in got[1:])
+    assert [p[3] for p in S.split("\n\n".join([words] * 4), 100, 0)] == ["block"] * 4
+
+
+def test_blank_long_contents(spark):
+    assert check(" " * 250, 100, 20) == [(0, 100, 0, "block"), (100, 200, 0, "block"), (200, 250, 0, "block")]
+    df = spark.createDataFrame([(1, "\n" * 2001, 1)], "section_id long, content string, start_line int")
+    assert S.pieces(df).count() == 2 and S.cut_kinds(df).collect()[0]["cut_kind"] == "block"
+
+
 def test_table(spark):
     schema = "section_id long, repo_id int, content string, start_line int, end_line int, level string, pieces int"
     long = "\n\n".join("line one\nline two " + "w " * 400 for _ in range(4))
