@@ -6,7 +6,8 @@ ends on the line before the declaration (its decorators or attributes included)
 docstring.  It is dropped where it says nothing that the declaration does not: empty,
 rules and banners, notes to do, tool directives, licence lines, commented-out code, bare
 tags, words of the name again; and where the same few words stand above so many
-functions that they are a template (counted by hash over the whole collection).
+differently named functions that they are a template (counted by hash over the whole
+collection; copies of a file or repeated rows do not make one).
 
 Defined results: rows without content or of an unsupported extension give nothing; a
 repeated row gives its functions once; an empty table gives no rows; further columns
@@ -27,7 +28,8 @@ from ..parsing.symbols import functions
 from ..plans.lineage import written
 from .parse_failures import language
 
-#: A text of at most so many words over at least this share of all documented functions is a template.
+#: A text of at most so many words over at least this share of all documented functions, each text
+#: and name counted once, is a template.
 TEMPLATE_WORDS, TEMPLATE_SHARE = 5, 0.002
 
 # Words that say no more than that there is a function, or that its documentation is wanting.
@@ -123,14 +125,15 @@ def documented(files: DataFrame) -> DataFrame:
 def pairs(files: DataFrame, template_words: int = TEMPLATE_WORDS, template_share: float = TEMPLATE_SHARE) -> DataFrame:
     """Code-description pairs: documented() without trivial and template documentation.
 
-    The functions are written once; their texts are counted by hash with partial sums
-    before the shuffle.  At most 1 / template_share texts can reach the share, so the
+    The functions are written once; the names below each text are counted by hash, once each,
+    with partial sums before the shuffle.  At most 1 / template_share texts can reach the share, so the
     list of templates is broadcast whatever the size of the collection.
     """
     plain = F.regexp_replace(F.lower("documentation"), r"[^\p{L}]+", " ")
     rows = written(documented(files).withColumn("text_hash", F.xxhash64(F.trim(plain))).withColumn("words", F.size(F.split(F.trim(plain), " "))), "functions")
-    least = max(3.0, rows.count() * template_share)
-    often = rows.where(F.col("words") <= template_words).groupBy("text_hash").agg(F.count("*").alias("n"))
+    names = rows.select("text_hash", "words", F.xxhash64("name").alias("name")).distinct()
+    least = max(3.0, names.count() * template_share)
+    often = names.where(F.col("words") <= template_words).groupBy("text_hash").agg(F.count("*").alias("n"))
     templates = often.where(F.col("n") >= least).select("text_hash")
     kept = rows.where("tells").join(F.broadcast(templates), "text_hash", "left_anti")
     return kept.drop("text_hash", "words", "tells").dropDuplicates(["file_id", "name", "start_line"])

@@ -51,6 +51,12 @@ def test_templates_are_found_by_their_count(spark):
     assert documented_functions.pairs(files(spark, *rows), template_share=0.5, template_words=1).count() == 21
 
 
+def test_copies_of_a_file_make_no_template(spark):
+    rows = [(i, f"v{i}/a.go", "package a\n\n// Assumes a sorted commit.\nfunc Join() {\n}\n") for i in range(20)] + [(99, "z.go", GO)] * 5
+    got = documented_functions.pairs(files(spark, *rows), template_share=0.1).collect()
+    assert sorted(r["file_id"] for r in got) == [*range(20), 99]
+
+
 TRIVIAL = ["TBD", "", "###", "Function.", "Loads the page.", "loadPage()", "load page 7", "TODO write docs", "@param p\n@returns", "eslint-disable-next-line", "x = call(y);", "Copyright 2020 A B. MIT licence.", "@since 1.2", "==== helpers ------", "n/a", "Getter for page", "This function loads the page."]
 TELLING = ["Null when the page is hidden.", "Liest die Datei.", "loadPage retries twice.", "@returns the number of free slots", "Safe to call twice."]
 
