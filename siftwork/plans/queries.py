@@ -177,11 +177,15 @@ def report_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def markdown_sections(spark: SparkSession, folder: str) -> DataFrame:
-    """The sections of Markdown files that are put together from the stored sections, cut again."""
-    s = _sections(spark, folder).where("section_title is not null and start_line is not null")
+    """The sections of Markdown files that are put together from the stored sections, cut again.
+
+    A section without a title is put in without a heading, so its text becomes the Introduction
+    or joins the section before it.
+    """
+    s = _sections(spark, folder)
     path = X.surface_path("filepath")
     head = F.concat(F.repeat(F.lit("#"), F.least(F.greatest(F.size("heading_hierarchy"), F.lit(1)), F.lit(6))), F.lit(" "), F.col("section_title"))
-    parts = s.select("repo_id", path.alias("filepath"), F.struct("ordinal", "section_id", F.concat(head, F.lit("\n"), F.coalesce("content", F.lit(""))).alias("text")).alias("p"))
+    parts = s.select("repo_id", path.alias("filepath"), F.struct("ordinal", "section_id", F.coalesce(F.concat(head, F.lit("\n"), F.coalesce("content", F.lit(""))), F.col("content")).alias("text")).alias("p"))
     files = parts.groupBy("repo_id", "filepath").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["text"]), "\n").alias("content"))
     return markdown.sections(files, "repo_id")
 

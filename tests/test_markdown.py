@@ -76,3 +76,13 @@ def test_against_brute_force(spark, files):
         want = plain(text)
         if want or not text.strip():
             assert sections == want, text
+
+
+def test_stored_sections_without_a_title_keep_their_text(spark, tmp_path):
+    from siftwork.plans.queries import markdown_sections
+
+    schema = "section_id long, repo_id int, filepath string, ordinal int, section_title string, heading_hierarchy array<string>, content string, start_line int"
+    rows = [(1, 1, "a.md", 0, None, [], "Before.", None), (2, 1, "a.md", 1, "One", ["One"], "Text.", 3), (3, 1, "a.md", 2, None, None, "More.", 9), (4, 1, "a.md", 3, "Two", ["One", "Two"], "End.", None), (5, 1, "a.md", 4, None, None, None, 12)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/doc_sections.parquet")
+    got = markdown_sections(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert [(r["section_title"], r["content"], r["start_line"]) for r in got] == [("Introduction", "Before.", 1), ("One", "Text.\nMore.", 2), ("Two", "End.", 5)]
