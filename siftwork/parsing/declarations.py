@@ -12,7 +12,7 @@ import re
 from dataclasses import dataclass, field
 
 from .languages import Parsed
-from .symbols import _back, _comment_before, _last_line, _spans, functions, member_head
+from .symbols import _NAMES, _back, _comment_before, _last_line, _spans, functions, member_head
 
 # Which tagged rule is which kind of symbol.
 _KINDS = {
@@ -83,7 +83,7 @@ def params(kinds: list[str], texts: list[str], name: int, dialect: str) -> list[
                 if k == "=" or k == "[" and dialect == "c":
                     break
                 before.append((k, t))
-            ids = [t for k, t in before if k in ("ID", "record")]
+            ids = [t for k, t in before if k in _NAMES]
             if ids and len(before) > 1:
                 out.append(ids[-1])
             continue

@@ -8,7 +8,9 @@ written.  The parser reads the token kinds from left to right:
   worked out when the grammar was compiled (one dictionary lookup a token);
 * where it has several, all are followed together over a graph-structured stack:
   calls of one rule at one position share a node, and stacks that meet again are
-  merged.  When a single stack is left, the parser returns to the table.
+  merged.  When a single stack is left, the parser returns to the table;
+* what came of such a stretch is remembered by its first state, the calls it returned
+  from and its tokens, so the same stretch is not followed again (Grammar.memory).
 
 ``EOF`` is the kind that ends the input.  ``AUTO_SEMI`` is a virtual statement end: where a
 token does not fit and a line break (or a closing brace, or the end) precedes it,
@@ -279,6 +281,15 @@ class Grammar:
             self.choices.append(row)
         # table[q][kind]: (pushes, next state), None where several choices are open, 0 where there is none
         self.table = [_Row(self, q) for q in range(n)]
+        # the state after a return to an unknown caller: nothing fits there
+        self.unknown = n
+        self.choices.append({})
+        self.final.append(False)
+        self.tail.append(False)
+        self.owner.append(_TOP)
+        #: what open choices came to, see _foreseen()
+        self.memory: dict[tuple, dict] = {}
+        self.remembered = 0
 
     def _stays(self, q: int, k: str) -> bool:
         return k not in self.greedy.get(self.owner[q], (k,))
@@ -357,6 +368,122 @@ def _step(g: Grammar, configs: list, k: str, i: int, spans: set) -> list:
     return list(after.values())
 
 
+# Stretches of tokens over which several choices are open, and what each came to.  A leaf of
+# Grammar.memory is an outcome, or says that more of the stack has to be known, or that the
+# stretch has to be followed each time.
+
+_MORE_STACK, _EACH_TIME = "more stack", "each time"
+_MOST_FRAMES, _MOST_TOKENS, _MOST_REMEMBERED = 8, 24, 200_000
+
+
+class _Bottom:
+    """Stands for the part of a stack that is not known."""
+
+    __slots__ = ("unknown", "reached")
+    below, tag, at, more = None, None, 0, ()
+
+    def __init__(self, unknown: int):
+        self.unknown, self.reached = unknown, False
+
+    @property
+    def ret(self) -> int:
+        self.reached = True
+        return self.unknown
+
+
+def _outcome(q: int, u, bottom, known: dict[int, int], taken: int, spans: set):
+    """(tokens taken, state, frames to drop, calls to push, spans), if the new part of the stack is one chain."""
+    pushes = []
+    while u is not bottom and id(u) not in known:
+        if u.more:
+            return _EACH_TIME
+        pushes.append((u.ret, u.tag, u.at))
+        u = u.below
+    return taken, q, known.get(id(u), len(known)), tuple(reversed(pushes)), tuple(spans)
+
+
+def _follow(g: Grammar, key: tuple, kinds: list[str], i: int):
+    """Follows the open choices at token i and remembers the outcome; key is the state and the calls that are known."""
+    q, frames = key[0], key[1:]
+    ends = bool(frames) and frames[-1] is None
+    bottom = u = None if ends else _Bottom(g.unknown)
+    stack, known = [], {}
+    for d in range(len(frames) - ends - 1, -1, -1):
+        u = (frames[d][0], u, frames[d][1], -1 - d)
+        stack.append(u)
+        known[id(u)] = d
+    if g.remembered > _MOST_REMEMBERED:
+        g.memory.clear()
+        g.remembered = 0
+    tree, configs, spans, last = g.memory.setdefault(key, {}), [(q, u)], set(), len(kinds) - 1
+    for n in range(_MOST_TOKENS):
+        k = kinds[i + n]
+        configs = _step(g, configs, k, n, spans)
+        if bottom is not None and bottom.reached:
+            leaf = _MORE_STACK
+        elif not configs or i + n == last or n == _MOST_TOKENS - 1:
+            leaf = _EACH_TIME
+        elif len(configs) == 1 and not (configs[0][1].__class__ is _Node and configs[0][1].more):
+            leaf = _outcome(*configs[0], bottom, known, n, spans)
+        else:
+            below = tree.get(k)
+            if below.__class__ is not dict:
+                below = tree[k] = {}
+                g.remembered += 1
+            tree = below
+            continue
+        tree[k] = leaf
+        g.remembered += 1
+        return leaf
+
+
+def _foreseen(g: Grammar, q: int, u, kinds: list[str], i: int, spans: set) -> tuple | None:
+    """(state, stack, token) at which the open choices at token i have come down to one; None if it is not known."""
+    key, frame, ats = (q,) if u is not None else (q, None), u, []
+    while True:
+        got, j = g.memory.get(key), i
+        while got.__class__ is dict:
+            got = got.get(kinds[j])
+            j += 1
+        if got is None:
+            got = _follow(g, key, kinds, i)
+        if got is _EACH_TIME:
+            return None
+        if got is not _MORE_STACK:
+            break
+        if len(ats) == _MOST_FRAMES:
+            return None
+        if frame.__class__ is tuple:
+            ret, frame, tag, at = frame
+        elif frame.more:
+            return None
+        else:
+            ret, tag, at, frame = frame.ret, frame.tag, frame.at, frame.below
+        ats.append(at)
+        key = (*key, (ret, tag)) if frame is not None else (*key, (ret, tag), None)
+    taken, q, drop, pushes, ended = got
+    for tag, a, b in ended:
+        spans.add((tag, a + i if a >= 0 else ats[-1 - a], b + i))
+    for _ in range(drop):
+        u = u[1] if u.__class__ is tuple else u.below
+    for ret, tag, a in pushes:
+        u = (ret, u, tag, a + i)
+    return q, u, i + taken
+
+
+def _settled(g: Grammar, q: int, u, k: str, i: int, spans: set) -> tuple | None:
+    """The configuration after k, where no choice is open; None where one is, or k does not fit."""
+    while not (act := g.table[q][k]):
+        if act is None or not g.final[q] or u is None or u.__class__ is _Node and u.more:
+            return None
+        q, u, tag, at = u if u.__class__ is tuple else (u.ret, u.below, u.tag, u.at)
+        if tag:
+            spans.add((tag, at, i))
+    for tag, to in act[0]:
+        u = (to, u, tag, i)
+    return act[1], u
+
+
 def parse(g: Grammar, kinds: list[str], breaks: set[int] | None = None, at: int = 0) -> tuple[bool, int, set]:
     """(accepted, index of the token that did not fit, spans of tagged rules).
 
@@ -386,6 +513,14 @@ def parse(g: Grammar, kinds: list[str], breaks: set[int] | None = None, at: int
                         spans.add((u.tag, u.at, i))
                     q, u = u.ret, u.below
                     continue
+            if act is None and (known := _foreseen(g, q, u, kinds, i, spans)):
+                q, u, i = known
+                break
+            if act == 0 and breaks is not None and not (u.__class__ is _Node and u.more) and (i in breaks or k == "}" or k == EOF):
+                known = _settled(g, q0, u0, AUTO_SEMI, i, spans)
+                if known and (known := _settled(g, *known, k, i, spans)):
+                    q, u = known
+                    break
             configs = _step(g, [(q, u)], k, i, spans) if act is None or u.__class__ is _Node and u.more else []
             before = [(q0, u0)]
             while True:

@@ -149,7 +149,7 @@ VarStmt = 'const' ( VarDecl {',' VarDecl} Semi <| Enum> ) | ('let' | 'var') VarD
 Binding = Name | '{' [ BindProp {',' BindProp} [','] ] '}' | '[' {','} [ BindElem {',' [BindElem]} ] ']' ;
 BindProp = '...' Binding | PropName [':' Binding] ['=' Assign] ;
 BindElem = ['...'] Binding ['=' Assign] ;
-@Func = ['async'] 'function' ['*'] [Name] <[TypeParams]> Params <[':' Type]> FuncEnd ;
+@Func = [ASYNCF] 'function' ['*'] [Name] <[TypeParams]> Params <[':' Type]> FuncEnd ;
 FuncEnd = Block < | Semi > ;
 Params = '(' [ Param {',' Param} [','] ] ')' ;
 Param = <{Decorator} {ParamMod}> ['...'] Binding <['?'] [':' Type]> ['=' Assign] ;
@@ -177,7 +177,7 @@ Unary = {'+' | '-' | '!' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'a
 Lhs = Primary { Suffix } ;
 Suffix = '.' AnyName | '?.' ( AnyName | Paren | '[' Expr ']' | STR ) | '[' Expr ']' | Paren | STR < | '!' | TypeArgs (Paren | STR) > ;
 Primary = Name [ArrowTail] | 'async' ( Name ArrowTail | <[TypeParams]> Paren ( ArrowTail <| ':' Type ArrowTail> ) ) | NUM | STR | 'this' | 'super' | 'null' | 'true' | 'false' | Paren [ ArrowTail <| ':' Type ArrowTail> ] | Array | Object | FuncExpr | Class | 'new' ( Lhs | '.' AnyName ) | 'import' ( Paren | '.' AnyName ) ;
-@FuncExpr = ['async'] 'function' ['*'] [Name] <[TypeParams]> Params <[':' Type]> Block ;
+@FuncExpr = [ASYNCF] 'function' ['*'] [Name] <[TypeParams]> Params <[':' Type]> Block ;
 Paren = '(' [ ParenItem {',' [ParenItem]} ] ')' ;
 ParenItem = '...' Assign <[':' Type]> | Expr1 ;
 Expr1 = Assign < ['?'] [':' Type] ['=' Assign] > ;
@@ -306,7 +306,7 @@ PatField = {Attr} ( ['ref'] ['mut'] (ID | NUM) [':' Pats] | '..' ) ;
 JAVA = """
 Unit = [ {Annotation} 'package' Qual ';' ] { 'import' ['static'] Qual ['.' BIN] ';' | ';' } { TypeDecl | ';' } ;
 Qual = ID {'.' ID} ;
-Mods = { Annotation | MOD } ;
+Mods = { Annotation | MOD | 'non' '-' 'sealed' } ;
 Annotation = '@' Qual [ '(' [ AnnItem {',' AnnItem} [','] ] ')' ] ;
 AnnItem = AnnValue ['=' AnnValue] ;
 AnnValue = Cond | Annotation | '{' [ AnnValue {',' AnnValue} [','] ] '}' ;
@@ -314,7 +314,7 @@ TypeDecl = Mods TypeKind ;
 TypeKind = Class | Interface | Enum | Record | AnnType ;
 @Class = 'class' ID [TypeParams] ['extends' Type] ['implements' Types] [Permits] ClassBody ;
 @Interface = 'interface' ID [TypeParams] ['extends' Types] [Permits] ClassBody ;
-Permits = PERMITS Types ;
+Permits = 'permits' Types ;
 @Enum = 'enum' ID ['implements' Types] '{' [ EnumConst {',' EnumConst} [','] ] [ ';' {Member} ] '}' ;
 EnumConst = {Annotation} ID [Args] [ClassBody] ;
 @Record = 'record' ID [TypeParams] '(' [Params] ')' ['implements' Types] ClassBody ;
@@ -340,9 +340,10 @@ BlockStmt = Local ';' | LocalType | Stmt ;
 LocalType = {Annotation | 'final' | 'abstract' | 'static'} ( Class | Interface | Enum | Record ) ;
 Local = {Annotation | 'final'} Type ID Vars ;
 Stmt = Block | ';' | 'if' '(' Expr ')' Stmt ['else' Stmt] | 'while' '(' Expr ')' Stmt | 'do' Stmt 'while' '(' Expr ')' ';' | 'for' '(' ForHead ')' Stmt | Switch | 'return' [Expr] ';' | 'break' [ID] ';' | 'continue' [ID] ';' | 'throw' Expr ';'
-  | 'synchronized' '(' Expr ')' Block | 'assert' Expr [':' Expr] ';' | Try | Expr ( ';' | ':' Stmt ) | YIELD Expr ';' ;
+  | 'synchronized' '(' Expr ')' Block | 'assert' Expr [':' Expr] ';' | Try | StmtExpr ';' | ID ':' Stmt | 'yield' Expr ';' ;
+StmtExpr = {'++' | '--'} Primary {Suffix} [ (ASG | '=') Expr ] ;
 ForHead = [ Local | Expr {',' Expr} ] ';' [Expr] ';' [ Expr {',' Expr} ] | {Annotation | 'final'} Type ID ':' Expr ;
-Switch = 'switch' '(' Expr ')' '{' { ( 'case' CaseItem {',' CaseItem} [GUARD Cond] | 'default' ) ( ':' {BlockStmt} | '->' ( Block | Expr ';' | 'throw' Expr ';' ) ) } '}' ;
+Switch = 'switch' '(' Expr ')' '{' { ( 'case' CaseItem {',' CaseItem} ['when' Cond] | 'default' ) ( ':' {BlockStmt} | '->' ( Block | Expr ';' | 'throw' Expr ';' ) ) } '}' ;
 CaseItem = Cond | 'default' | Type (ID | RecordPat) ;
 RecordPat = '(' [ Pattern {',' Pattern} ] ')' ;
 Pattern = ['final'] Type (ID | RecordPat) ;
@@ -353,7 +354,7 @@ Cond = Bin [ '?' Expr ':' Expr ] ;
 Bin = Unary { ( BIN | '&' | '+' | '-' | '<' | '>=' | '>' ['>' ['>']] ) Unary | 'instanceof' ['final'] Type [ID | RecordPat] } ;
 Unary = {'+' | '-' | '!' | '~' | '++' | '--'} ( Primary {Suffix} | Cast ) ;
 Cast = '(' Type {'&' Type} ')' Unary ;
-Primary = ID | NUM | STR | 'this' | 'super' | 'true' | 'false' | 'null' | Paren | New | PRIM {'[' ']'} | 'void' | Switch | 'record' ;
+Primary = ID | NUM | STR | 'this' | 'super' | 'true' | 'false' | 'null' | Paren | New | PRIM {'[' ']'} | 'void' | Switch ;
 Paren = '(' [ Expr {',' Expr} ] ')' | '(' Params ')' ;
 Suffix = '.' ( ID | 'class' | 'this' | 'super' | New | TypeArgs (ID | 'super') ) | Args | '[' [Expr] ']' | '++' | '--' | '::' ( [TypeArgs] ID | 'new' ) | TypeArgs '::' (ID | 'new') ;
 Args = '(' [ Expr {',' Expr} ] ')' ;
@@ -498,8 +499,8 @@ def build(language: str, rest: bool = False) -> Grammar | None:
         ts = language == "typescript"
         context = (L.JS_CONTEXT + " " + (L.TS_CONTEXT if ts else "")).split()
         words = (L.JS_WORDS + " " + (L.TS_WORDS if ts else "")).split()
-        prefer = {("Stmt", "{"): "Block", ("Stmt", "function"): "Func", ("Stmt", "class"): "Class", ("Stmt", "@"): "Class", ("ArrowBody", "{"): "Block", ("FuncEnd", "{"): "Block", ("Export", "function"): "Func", ("Export", "class"): "Class"}
-        return Grammar(_js(_JS, ts) + (_TS if ts else "") + more, "Rest" if rest else "Program", prefer, {"ASI": [AUTO_SEMI], "CONTEXT": context, "WORD": words}, "Bin If Do Expr TypeOp Postfix Union Inter Lhs!<")
+        prefer = {("Stmt", "{"): "Block", ("Stmt", "function"): "Func", ("Stmt", L.ASYNC_FUNCTION): "Func", ("Stmt", "class"): "Class", ("Stmt", "@"): "Class", ("ArrowBody", "{"): "Block", ("FuncEnd", "{"): "Block", ("Export", "function"): "Func", ("Export", L.ASYNC_FUNCTION): "Func", ("Export", "class"): "Class"}
+        return Grammar(_js(_JS, ts) + (_TS if ts else "") + more, "Rest" if rest else "Program", prefer, {"ASI": [AUTO_SEMI], "ASYNCF": [L.ASYNC_FUNCTION], "CONTEXT": context, "WORD": words}, "Bin If Do Expr TypeOp Postfix Union Inter Lhs!<")
     if language == "rust":
         every = [*L.RUST_WORDS.split(), *(o for o in L.RUST_OPS.split() if o not in ("(", ")", "[", "]", "{", "}") and o not in L.RUST_BINARY.split()), "BIN", "ID", "NUM", "STR", "LIFE"]
         like = "{ unsafe async loop while for if match LIFE".split()
@@ -507,7 +508,7 @@ def build(language: str, rest: bool = False) -> Grammar | None:
         return Grammar(RUST, "File", prefer, {"ANYTOKEN": sorted(set(every)), "UNIONWORD": ["union-word"]}, "Bin BinX Expr ExprX Jump JumpX Type Bounds Pats Seg")
     if language == "java":
         mods = "public protected private abstract static final native synchronized transient volatile strictfp default".split()
-        return Grammar(JAVA + more, "Rest" if rest else "Unit", {("BlockStmt", "PRIM"): "Local", ("BlockStmt", "switch"): "Stmt", ("Stmt", "switch"): "Switch"}, {"ID": ["ID", "record"], "MOD": mods, "PERMITS": ["ID"], "YIELD": ["ID"], "GUARD": ["ID"]}, "Bin Cond Expr Stmt Suffix BaseType Type")
+        return Grammar(JAVA + more, "Rest" if rest else "Unit", {("BlockStmt", "PRIM"): "Local", ("BlockStmt", "switch"): "Stmt", ("Stmt", "switch"): "Switch"}, {"ID": ["ID", *L.JAVA_CONTEXT.split()], "MOD": [*mods, "sealed"]}, "Bin Cond Expr Stmt Suffix BaseType Type")
     if language == "c":
         return Grammar(C, "Unit", None, None, "Stmt StructSpec EnumSpec Primary")
     if language == "ruby":

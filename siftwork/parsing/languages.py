@@ -37,14 +37,19 @@ def language_of(path: str | None) -> str | None:
     return EXTENSIONS.get((path or "").rpartition("/")[2].rpartition(".")[2])
 
 
-def read(text: str, language: str) -> Parsed:
-    """Parses with every dialect of the language until one takes the whole text."""
+def read(text: str, language: str, wanted=None) -> Parsed | None:
+    """Parses with every dialect of the language until one takes the whole text.
+
+    With wanted, a condition on (tokens, dialect), texts that do not meet it are not parsed and give None.
+    """
     best = None
     for dialect in DIALECTS.get(language, (language,)):
         lexer, grammar = _tools(dialect)
         tokens = lexer(text)
         if len(tokens.kinds) == 1:  # blank, or nothing but comments
             return Parsed(True, dialect, tokens, set(), 0)
+        if wanted and not wanted(tokens, dialect):
+            return None
         ok, at, spans = parse(grammar, tokens.kinds, tokens.breaks)
         got = Parsed(ok, dialect, tokens, spans, at)
         if ok:

@@ -15,6 +15,7 @@ from .gll import EOF
 
 _KEEP = 200_000
 _NL, _COMMENT, _LONG = "\n", "//", "STR\n"
+ASYNC_FUNCTION = "async function"
 
 
 class Lines:
@@ -76,7 +77,7 @@ def _ops(text: str) -> list[str]:
 
 
 #: What most tokens are, tried first: a word that is no prefix of a string, or a lone mark.
-_FREQUENT = r"[A-Za-z_][A-Za-z0-9_]*+(?![\w\"'#$])|[()\[\]{},;\n]"
+_FREQUENT = r"[A-Za-z_][A-Za-z0-9_]*+(?![\w\"'#$])|[()\[\]{},;\n]|[.=:<>+\-*!?&|](?![.=:<>+\-*!?&|/~\d])"
 
 
 def _pattern(*parts: str, ops: str, frequent: str = _FREQUENT) -> re.Pattern:
@@ -113,7 +114,8 @@ class BraceLexer:
     """For languages whose blocks are in braces.
 
     auto says how statements end at line breaks: 'go' inserts a semicolon after certain
-    tokens, 'js' leaves it to the parser (Tokens.breaks) but for restricted statements.
+    tokens, 'js' leaves it to the parser (Tokens.breaks) but for restricted statements; an
+    async before function is a kind of its own, as only there it begins a declaration.
     """
 
     def __init__(self, pattern: re.Pattern, kinds: _Kinds, auto: str = "", ends: frozenset = frozenset()):
@@ -151,39 +153,52 @@ class BraceLexer:
             elif k:
                 kinds.append(k)
         kinds.append(EOF)
+        _async_functions(kinds)
         return kinds, set(starts)
 
     def __call__(self, text: str) -> Tokens:
-        kinds, texts, table, ends = [], [], self.kinds, self.ends
+        kinds, texts, ends = [], [], self.ends
         starts: list[int] = []  # the token that begins each further line
         comments = []
-        special = {_NL, _COMMENT, _LONG}
-        for s in self.pattern.findall(text.removeprefix("\ufeff")):
-            k = table[s]
-            if k in special:
-                if k == _LONG:
-                    kinds.append("STR")
-                    texts.append(s)
-                    starts += [len(kinds)] * s.count("\n")
-                    continue
-                n = s.count("\n")
-                if n and kinds and kinds[-1] in ends:
-                    kinds.append(";")
-                    texts.append("")
-                if k == _COMMENT:
-                    comments.append((len(kinds), len(starts) + 1, len(starts) + n + 1, s))
-                starts += [len(kinds)] * n
+        lexemes = self.pattern.findall(text.removeprefix("\ufeff"))
+        found = list(map(self.kinds.__getitem__, lexemes))
+        special, at = {_NL, _COMMENT, _LONG}, 0
+        for i in [i for i, k in enumerate(found) if k in special]:
+            if i > at:
+                kinds += found[at:i]
+                texts += lexemes[at:i]
+            at, k, s = i + 1, found[i], lexemes[i]
+            if k == _LONG:
+                kinds.append("STR")
+                texts.append(s)
+                starts += [len(kinds)] * s.count("\n")
                 continue
-            kinds.append(k)
-            texts.append(s)
+            n = 1 if k == _NL else s.count("\n")
+            if n and kinds and kinds[-1] in ends:
+                kinds.append(";")
+                texts.append("")
+            if k == _COMMENT:
+                comments.append((len(kinds), len(starts) + 1, len(starts) + n + 1, s))
+            starts += [len(kinds)] * n
+        kinds += found[at:]
+        texts += lexemes[at:]
         if self.auto == "go" and kinds and kinds[-1] in ends:
             kinds.append(";")
             texts.append("")
         kinds.append(EOF)
         texts.append("")
+        if self.auto == "js":
+            _async_functions(kinds)
         return Tokens(kinds, texts, Lines(starts, len(kinds)), set(starts) if self.auto == "js" else None, comments)
 
 
+def _async_functions(kinds: list[str]) -> None:
+    if "async" in kinds:
+        for i in [i for i, k in enumerate(kinds) if k == "async"]:
+            if kinds[i + 1] == "function":
+                kinds[i] = ASYNC_FUNCTION
+
+
 # -- fixed values: keywords and operators of the languages -----------------------------
 
 GO_WORDS = "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var"
@@ -205,7 +220,7 @@ RUST_BINARY = ">>= <= == != / % ^ << += -= *= /= %= ^= &= |= <<="
 
 JAVA_WORDS = "abstract assert break case catch class const continue default do else enum extends final finally for goto if implements import instanceof interface native new package private protected public return static strictfp super switch synchronized this throw throws transient try volatile while true false null void"
 JAVA_PRIM = "boolean byte char double float int long short"
-JAVA_CONTEXT = "record"
+JAVA_CONTEXT = "record yield permits when sealed non"
 JAVA_OPS = "{ } ( ) [ ] ; , < > <= >= == != + - * / % ^ ! ~ & | && || << ++ -- += -= *= /= %= ^= &= |= <<= >>= >>>= = ? : :: . ... @ ->"
 JAVA_BINARY = "<= == != * / % ^ | && || <<"
 JAVA_ASSIGN = ">>= >>>= += -= *= /= %= ^= &= |= <<="
@@ -243,7 +258,7 @@ def go_lexer() -> BraceLexer:
     return BraceLexer(_pattern(_LINE, _BLOCK, r"`[^`]*`", _DQ, _SQ, _WORD, _NUMBER, ops=GO_OPS), kinds, "go", ends)
 
 
-_REGEX = r"(?:(?<=[(,=:\[!&|?{;+\-*%~^<>])|(?<=[(,=:\[!&|?{;+\-*%~^<>] )|(?<=return )|(?<=case )|(?<=typeof )|(?<=\n)|(?<=\n  )|(?<=\n    ))/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+_REGEX = r"/(?:(?<=[(,=:\[!&|?{;+\-*%~^<>]/)|(?<=[(,=:\[!&|?{;+\-*%~^<>] /)|(?<=return /)|(?<=case /)|(?<=typeof /)|(?<=\n/)|(?<=\n  /)|(?<=\n    /))(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 _TEMPLATE = r"`(?:[^`\\$]++|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|`[^`]*`|\{[^{}]*\})*\})*`"
 
 
@@ -396,6 +411,7 @@ class RubyLexer:
         self.pattern = re.compile(
             "|".join(
                 [
+                    r"[a-z_][a-z0-9_]*+(?![\w?!:\"'])|[\n(),;\[\]{}]",  # most tokens, tried first
                     r"^=begin\b[\s\S]*?^=end[^\n]*",
                     r"#[^\n]*",
                     r"^__END__\r?$[\s\S]*",
@@ -429,6 +445,14 @@ class RubyLexer:
             s, pos = m.group(), m.end()
             c = s[0]
             last = kinds[-1] if kinds else "NL"
+            if s.isidentifier() and c != "_":
+                if last in (".", "&.") or last == "def" and s != "self" or s not in self.words:
+                    kinds.append("CONST" if c.isupper() else "ID")
+                else:
+                    kinds.append(s)
+                texts.append(s)
+                lines.append(line)
+                continue
             spaced = m.start() > 0 and text[m.start() - 1] in " \t"
             if c == "\n":
                 here = line

@@ -11,15 +11,16 @@ from bisect import bisect_right
 from dataclasses import dataclass
 from functools import cache
 
-from . import grammars
+from . import grammars, lexers
 from .gll import EOF, Grammar, parse
 from .languages import Parsed, _tools
 
 _MODIFIERS = frozenset(
-    "export default async const let var declare public private protected static abstract readonly override get set final native synchronized transient volatile strictfp pub unsafe extern QUAL".split()
+    [lexers.ASYNC_FUNCTION, *"export default async const let var declare public private protected static abstract readonly override get set final native synchronized transient volatile strictfp pub unsafe extern QUAL".split()]
 )
 #: Before a bracket these begin a statement, though a JavaScript method may be called so.
 _CONTROL = frozenset("if for while switch catch with function await return super this import".split())
+_NAMES = frozenset(["ID", *lexers.JAVA_CONTEXT.split()])
 _MEMBER_WORDS = frozenset("static async get set public private protected readonly abstract override @ *".split())
 _OPENERS = {")": "(", "]": "[", "}": "{"}
 
@@ -66,9 +67,9 @@ def _head(kinds: list[str], i: int) -> int:
                 i = j - 1
                 continue
             j -= 1
-        while j > 1 and kinds[j] in ("ID", "record") and kinds[j - 1] == ".":
+        while j > 1 and kinds[j] in _NAMES and kinds[j - 1] == ".":
             j -= 2
-        if j > 0 and kinds[j] in ("ID", "record") and kinds[j - 1] == "@":
+        if j > 0 and kinds[j] in _NAMES and kinds[j - 1] == "@":
             i = j - 1
             continue
         break
@@ -166,9 +167,17 @@ def _spans(p: Parsed) -> set:
         last, at = at, end
 
 
+def has_documentation(tokens: lexers.Tokens, dialect: str) -> bool:
+    """Whether there is a comment, or in Python a string that begins a block: else no function is documented."""
+    if tokens.comments or dialect != "python":
+        return bool(tokens.comments)
+    kinds = tokens.kinds
+    return any(a == "INDENT" and b == "STR" for a, b in zip(kinds, kinds[1:]))
+
+
 def functions(p: Parsed, documented: bool = False) -> list[Function]:
     """The functions in the order of their names' places; with documented only those with a comment or docstring."""
-    if documented and p.dialect != "python" and not p.tokens.comments:
+    if documented and not has_documentation(p.tokens, p.dialect):
         return []
     t, dialect = p.tokens, p.dialect
     kinds, texts, lines = t.kinds, t.texts, t.lines
@@ -228,7 +237,7 @@ def functions(p: Parsed, documented: bool = False) -> list[Function]:
             init = next((i for i in range(a, b) if (i, b) in inits), -1)
             if init < 0 or b not in ends:
                 continue
-            if kinds[init + 1] == "function" or kinds[init + 1] == "async" and kinds[init + 2] == "function":
+            if kinds[init + 1] in ("function", lexers.ASYNC_FUNCTION):
                 found.append((a, a, b, "Function"))
             elif any(e == b and _arrow_of(kinds, init + 1, s) for s, e in by.get("ArrowTail", ())):
                 found.append((a, a, b, "Function"))
@@ -238,7 +247,7 @@ def functions(p: Parsed, documented: bool = False) -> list[Function]:
         head = member_head(kinds, a) if dialect == "java" else decorated.get(b, a) if dialect == "python" else _head(kinds, a)
         doc, style = _comment_before(p, head, a), "comment"
         if dialect == "python":
-            body = next((i for i in range(name, b) if kinds[i] == "INDENT"), -1)
+            body = kinds.index("INDENT", name, b) if "INDENT" in kinds[name:b] else -1
             if 0 < body < b - 1 and kinds[body + 1] == "STR" and kinds[body + 2] in ("NL", ";") and texts[body + 1][:1] in "\"'rRuU":
                 doc, style = texts[body + 1], "docstring"
         if documented and not doc:
