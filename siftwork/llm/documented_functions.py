@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stemming import stem
 from ..parsing import languages
-from ..parsing.symbols import functions
+from ..parsing.symbols import functions, has_documentation
 from ..plans.lineage import written
 from .parse_failures import language
 
@@ -40,28 +40,41 @@ _EMPTY_WORDS = frozenset(
     todo tbd fixme xxx hack none null nil na n see above below documentation documented docs doc document description describe pending
     add write here missing placeholder stub auto generated autogenerated comment comments summary text fill lorem ipsum params returns return""".split()
 )
-_DIRECTIVE = re.compile(r"^(?:@ts-\w+|eslint\b|eslint-|prettier-|noqa\b|pylint:|flake8:|mypy:|type:\s*ignore|rubocop:|nolint\b|go:|\+build|clang-format|NOLINT|istanbul|c8 ignore|tslint:|jshint|jslint|biome-|noinspection|@?suppress|SPDX-|vim?:|-\*-|coding[:=]|pragma\b|region\b|endregion\b|#?\s*(?:end)?region)", re.I)
-_LEGAL = re.compile(r"^(?:copyright\b|\(c\)|©|licen[sc]ed?\b|all rights reserved|released under|created (?:by|on)\b|author\b|modified (?:by|on)\b|generated by\b|upstream:)", re.I)
-_TODO = re.compile(r"^(?:todo|tbd|fixme|xxx|hack)\b", re.I)
-_CODE = re.compile(r"[;{}]\s*$|^\s*(?:if|for|while|switch|return|elif|else|try|catch)\b.*[:({]\s*$|^[\w.\[\]\"']+\s*(?:[-+*/|&]?=|:=)\s*\S|^[\w.:]+\([^)]*\)\s*;?$|^(?:def|fn|func|function|class|import|let|const|var|use)\s+\w+.*[;:{(=]")
-_TAG = re.compile(r"^(?:[@\\](\w+)|:(param|returns?|type|rtype|raises)\b)\s*(.*)$")
+_DIRECTIVE = re.compile(r"(?:@ts-\w+|eslint\b|eslint-|prettier-|noqa\b|pylint:|flake8:|mypy:|type:\s*ignore|rubocop:|nolint\b|go:|\+build|clang-format|NOLINT|istanbul|c8 ignore|tslint:|jshint|jslint|biome-|noinspection|@?suppress|SPDX-|vim?:|-\*-|coding[:=]|pragma\b|region\b|endregion\b|#?\s*(?:end)?region)", re.I)
+_LEGAL = re.compile(r"(?:copyright\b|\(c\)|©|licen[sc]ed?\b|all rights reserved|released under|created (?:by|on)\b|author\b|modified (?:by|on)\b|generated by\b|upstream:)", re.I)
+_TODO = re.compile(r"(?:todo|tbd|fixme|xxx|hack)\b", re.I)
+_CODE = re.compile(r"\s*(?:if|for|while|switch|return|elif|else|try|catch)\b.*[:({]\s*$|[\w.\[\]\"']+\s*(?:[-+*/|&]?=|:=)\s*\S|[\w.:]+\([^)]*\)\s*;?$|(?:def|fn|func|function|class|import|let|const|var|use)\s+\w+.*[;:{(=]")
+_TAG = re.compile(r"(?:[@\\](\w+)|:(param|returns?|type|rtype|raises)\b)\s*(.*)$")
 #: The parts of words: camel and snake case are cut, numbers left out.
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zß-öø-ÿ]+|[^\W\d_]+")
 
 
+_QUOTES = re.compile(r"[rRuUbB]{0,2}(\"\"\"|'''|\"|')")
+_RUBY_BLOCK = re.compile(r"^=begin\b|^=end\b.*$", re.M)
+_LEAD = re.compile(r"/\*+!?|//+[/!]?|\*+(?!/)|#+(?!\[)")
+_LAST = re.compile(r"\*+/$")
+_RULED = re.compile(r"^[-=~*#_+.<>/\\|:!]{2,}|[-=~*#_+<>/\\|]{2,}$")
+_LETTER = re.compile(r"\w")
+_SENTENCE = re.compile(r"(?<=[.!?])\s")
+
+
 def clean(doc: str) -> list[str]:
     """The lines of a comment or docstring without markers and decoration; blank ones dropped."""
     text = doc.strip()
-    if m := re.match(r"^[rRuUbB]{0,2}(\"\"\"|'''|\"|')", text):
+    if m := _QUOTES.match(text):
         text = text[m.end() :].removesuffix(m[1])
     out = []
-    for line in re.sub(r"^=begin\b|^=end\b.*$", "", text, flags=re.M).split("\n"):
+    for line in (_RUBY_BLOCK.sub("", text) if "=" in text else text).split("\n"):
         line = line.strip()
-        line = re.sub(r"^(?:/\*+!?|//+[/!]?|\*+(?!/)|#+(?!\[))|\*+/$", "", line).strip()
-        line = re.sub(r"\*+/$", "", line).strip()
-        line = re.sub(r"^[-=~*#_+.<>/\\|:!]{2,}|[-=~*#_+<>/\\|]{2,}$", "", line).strip()
-        if line and re.search(r"\w", line):
-            out.append(line)
+        if m := _LEAD.match(line):
+            line = line[m.end() :].strip()
+        if not line:
+            continue
+        if not line[0].isalnum() or line[-1] in "-=~*#_+<>/\\|":
+            line = _RULED.sub("", _LAST.sub("", _LAST.sub("", line).strip()).strip()).strip()
+            if not line or not _LETTER.search(line):
+                continue
+        out.append(line)
     return out
 
 
@@ -78,7 +91,7 @@ def informative(lines: list[str], name: str, signature: str) -> bool:
     declared = known = None
     begun: set[str] = set()
     for line in lines:
-        if _DIRECTIVE.search(line) or _LEGAL.search(line) or _TODO.search(line) or _CODE.search(line):
+        if line[-1] in ";{}" or _DIRECTIVE.match(line) or _LEGAL.match(line) or _TODO.match(line) or _CODE.match(line):
             continue
         if m := _TAG.match(line):
             if (m[1] or "").lower() in ("since", "author", "version", "copyright", "license", "date", "created", "file", "name", "function", "method", "private", "public", "internal", "api", "see"):
@@ -103,12 +116,12 @@ def _extract(batches):
     for b in batches:
         out = [[] for _ in names]
         for fid, lang, text in zip(*(b.column(c).to_pylist() for c in ("file_id", "language", "content"))):
-            p = languages.read(text, lang)
-            for f in functions(p, documented=True):
+            p = languages.read(text, lang, has_documentation)
+            for f in functions(p, documented=True) if p else ():
                 lines = clean(f.doc)
                 if not lines:
                     continue
-                row = (fid, lang, p.ok, f.name, f.kind, f.start_line, f.end_line, f.signature, f.doc_style, "\n".join(lines), re.split(r"(?<=[.!?])\s", " ".join(lines), maxsplit=1)[0], informative(lines, f.name, f.signature))
+                row = (fid, lang, p.ok, f.name, f.kind, f.start_line, f.end_line, f.signature, f.doc_style, "\n".join(lines), _SENTENCE.split(" ".join(lines), maxsplit=1)[0], informative(lines, f.name, f.signature))
                 for col, v in zip(out, row):
                     col.append(v)
         types = [pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()]
