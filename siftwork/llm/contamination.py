@@ -1,6 +1,6 @@
 """Problem 6: evaluation items that leaked into documents.
 
-Items are taken in blocks whose size is checked, so what is broadcast never grows with the
+Items are taken in blocks whose words are bounded, so what is broadcast never grows with the
 corpus.  For a block, one pass over the documents counts in how many of them each n-gram of
 the items occurs; the rare ones of an item become its seeds.  A second pass joins documents
 to items by seeds, or whatever the counts where the n-grams that both have lie over enough of
@@ -8,15 +8,20 @@ the item for the wanted share, and aligns each pair at once by Smith-Waterman ov
 passage, until no passage is left that is long enough.  A pair leaks if the passages
 together hold the wanted share of the item's own words.  Nothing but counts is shuffled.
 
+A passage has an n-gram in the item's wording: only the words of the item near one that both
+have, and of the document near one, are aligned, so a long document costs what its hits do.
+
 An item's own words are those after its stock instruction: the opening sentences that it
 shares with other items.
 
 Defined results: null and blank texts and items without own words of n-gram length give
-nothing; repeated rows count once; an empty table on either side gives no rows.
+nothing; an item of FEW words or less leaks only as a whole; repeated rows count once; an
+empty table on either side gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
@@ -25,20 +30,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items in a block, and words in one; an item's words are at most the block's.
-BLOCK_ITEMS, BLOCK_WORDS = 2000, 2_000_000
+#: Words of the items in a block; an item is never split.
+BLOCK_WORDS = 2_000_000
 N = 3
 SHARE = 0.4
 #: A gram is rare if at most this share of the documents has it, and not too many items do.
 RARE_SHARE, RARE_ITEMS = 0.002, 2
 MIN_SEEDS = 3
-#: Words on either side of an n-gram of the document that may be matched with it.
-REACH = 4
-#: Smith-Waterman: scores of equal and unequal words and of a gap; words that a passage must match.
-MATCH, MISMATCH, GAP, MIN_MATCHED = 2.0, -3.0, -2.0, 8
-#: The score at which the search for passages ends in leaks(): that of MIN_SEEDS n-grams in a row, so
-#: that of edited passages the words count and not the score.
+#: How far from an n-gram that both have words of the item may be matched: without seeds, and with.
+REACH, SEEDED_REACH = 4, 8
+#: Smith-Waterman: scores of equal and unequal words and of a gap.
+MATCH, MISMATCH, GAP = 2, -3, -2
+#: Words that a passage must match: so many, or half of the wanted share of a short item, but an
+#: n-gram at least.  And words that are no more than a phrase, if the item is longer.
+MIN_MATCHED, FEW = 8, 4
+#: The score at which the search for passages ends: that of MIN_SEEDS n-grams in a row, or of the
+#: shortest passage, so that of edited passages the words count and not the score.
 FLOOR = MATCH * (MIN_SEEDS + N - 1)
+#: Words of a document that are aligned at once.
+PIECE = 50_000
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+|\n+")
@@ -65,23 +75,38 @@ def own_words(items: DataFrame, shared_by: int = 3) -> DataFrame:
     return rest.select("item_id", F.array_join(F.slice("parts", F.col("first") + 1, F.greatest(F.size("parts"), F.lit(1))), "\n").alias("text"))
 
 
-def align(item: np.ndarray, doc: np.ndarray, floor: float = MATCH * MIN_MATCHED) -> np.ndarray:
+def least_passage(length: int, share: float = SHARE) -> int:
+    """The words that a passage of an item must match."""
+    return min(MIN_MATCHED, max(N, math.ceil(share * length / 2)))
+
+
+def align(item: np.ndarray, doc: np.ndarray, least: int = MIN_MATCHED, floor: int | None = None) -> np.ndarray:
     """Which words of the item (as numbers) are matched in passages of the document.
 
     Smith-Waterman, best passage first; the words of a passage are then taken out on both
     sides, and the search goes on until no passage scores the floor.  Only passages that match
-    MIN_MATCHED words count.
+    the least number of words count.  Words of the item below 0 are left out, and so are those
+    of the document below -2, which end a passage.
     """
+    floor = MATCH * least if floor is None else floor
     taken = np.zeros(len(item), bool)
     item, doc = item.copy(), doc.copy()
-    steps = np.arange(len(doc) + 1) * -GAP
+    ends = np.nonzero(doc < -2)[0]
+    apart = 2 * MATCH * len(item)
+    costs = np.full(len(doc) + 1, -GAP, np.int32)
+    costs[ends + 1] = apart
+    costs[0] = 0
+    steps = np.cumsum(costs, dtype=np.int32)
+    h = np.zeros((len(item) + 1, len(doc) + 1), np.int32)
     while True:
-        h = np.zeros((len(item) + 1, len(doc) + 1))
         for i in range(len(item)):
+            row = h[i + 1]
+            row[:] = 0
             if item[i] < 0:
                 continue
-            row = h[i + 1]
-            np.maximum(row[1:], h[i, :-1] + np.where(doc == item[i], MATCH, MISMATCH), out=row[1:])
+            step = np.where(doc == item[i], MATCH, MISMATCH)
+            step[ends] = -apart
+            np.maximum(row[1:], h[i, :-1] + step, out=row[1:])
             np.maximum(row, h[i] + GAP, out=row)
             row += steps
             np.maximum.accumulate(row, out=row)
@@ -91,22 +116,21 @@ def align(item: np.ndarray, doc: np.ndarray, floor: float = MATCH * MIN_MATCHED)
             break
         end, matched = j, []
         while h[i, j] > 0:
-            if i and j and abs(h[i, j] - h[i - 1, j - 1] - (MATCH if item[i - 1] == doc[j - 1] else MISMATCH)) < 1e-9:
+            here = h[i, j]
+            if i and j and here - h[i - 1, j - 1] == (MATCH if item[i - 1] == doc[j - 1] else MISMATCH):
                 if item[i - 1] == doc[j - 1]:
                     matched.append(i - 1)
                 i, j = i - 1, j - 1
-            elif i and abs(h[i, j] - h[i - 1, j] - GAP) < 1e-9:
+            elif i and here - h[i - 1, j] == GAP:
                 i -= 1
             elif j:
                 j -= 1
             else:
                 break
-        if len(matched) < MIN_MATCHED:
-            doc[j:end] = -2
-            continue
-        taken[matched] = True
-        item[matched] = -1
         doc[j:end] = -2
+        if len(matched) >= least:
+            taken[matched] = True
+            item[matched] = -1
     return taken
 
 
@@ -129,11 +153,18 @@ class _Block:
             times.append(n)
         codes, owners, times = (np.concatenate(x or [np.empty(0, np.int64)]) for x in (codes, owners, times))
         order = np.lexsort((owners, codes))
-        self.pair_codes, self.pair_owners, self.pair_times = codes[order], owners[order], times[order]
+        self.pair_codes, self.pair_owners, self.pair_times = codes[order], owners[order].astype(np.int32), times[order].astype(np.int32)
         self.codes, self.starts = np.unique(self.pair_codes, return_index=True)
         self.shared = np.diff(np.append(self.starts, len(self.pair_codes)))
         self.lengths = np.array([len(x) for x in self.items], np.int64)
-        self.places = [np.searchsorted(self.codes, self.grams(x)) for x in self.items]
+        # all items one after the other, with room between them that holds nothing
+        room = N + SEEDED_REACH
+        self.first = room + np.cumsum(self.lengths + room) - self.lengths - room
+        total = int(self.lengths.sum()) + room * (len(self.items) + 1)
+        self.words, self.places = np.full(total, len(self.numbers), np.int32), np.full(total, len(self.codes), np.int32)
+        for at, item in zip(self.first, self.items):
+            self.words[at : at + len(item)] = item
+            self.places[at : at + max(0, len(item) - N + 1)] = np.searchsorted(self.codes, self.grams(item))
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         """Codes of the n-grams; those with a word that no item has are negative."""
@@ -151,24 +182,37 @@ class _Block:
         get = self.numbers.get
         return np.array([get(w, -1) for w in words(text)], np.int64)
 
-    def find(self, ids: np.ndarray) -> np.ndarray:
-        """Indexes into codes of the n-grams of a text."""
-        c = np.unique(self.grams(ids))
+    def look_up(self, ids: np.ndarray) -> np.ndarray:
+        """Index into codes of the n-gram that begins at each place of a text; their number where no item has it."""
+        c = self.grams(ids)
+        if not len(self.codes):
+            return np.zeros(len(c), np.int64)
         at = np.searchsorted(self.codes, c)
         at[at == len(self.codes)] = 0
-        return at[self.codes[at] == c] if len(self.codes) else at[:0]
+        return np.where(self.codes[at] == c, at, len(self.codes))
 
+    def find(self, ids: np.ndarray) -> np.ndarray:
+        """Indexes into codes of the different n-grams of a text."""
+        at = self.look_up(ids)
+        return np.unique(at[at < len(self.codes)])
 
     def pairs(self, found: np.ndarray) -> np.ndarray:
         """Indexes of the (gram, item) pairs of the grams at those indexes into codes."""
         n = self.shared[found]
         return np.repeat(self.starts[found] - np.cumsum(n) + n, n) + np.arange(n.sum())
 
-    def near(self, k: int, found: np.ndarray) -> np.ndarray:
-        """Which words of an item lie in one of its grams that were found, or within REACH of one."""
-        at, n = np.nonzero(found[self.places[k]])[0], int(self.lengths[k])
-        steps = np.bincount(np.maximum(at - REACH, 0), minlength=n + 1) - np.bincount(np.minimum(at + N + REACH, n), minlength=n + 1)
-        return np.cumsum(steps[:n]) > 0
+    def near(self, items: np.ndarray, reach: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places in words of those items, one after the other; whether a gram that was found is
+        within an item's reach of each; where each item begins in them)."""
+        n = self.lengths[items]
+        begin = np.cumsum(n) - n
+        at = np.repeat(self.first[items] - begin, n) + np.arange(n.sum())
+        reach = np.repeat(reach, n)
+        hits = np.repeat(np.cumsum(n + N + SEEDED_REACH) - n, n) + np.arange(n.sum()) - np.repeat(begin, n)
+        known = np.zeros(int(n.sum()) + (N + SEEDED_REACH) * (len(items) + 1), np.int32)
+        known[hits] = found[self.places[at]]
+        before = np.concatenate([[0], np.cumsum(known)])
+        return at, before[hits + reach + 1] - before[hits - reach - N + 1] > 0, begin
 
 
 def _count(block):
@@ -186,31 +230,66 @@ def _count(block):
     return run
 
 
+def held_share(b: "_Block", k: int, item: np.ndarray, ids: np.ndarray, places: np.ndarray, share: float) -> float:
+    """The share of an item's words that passages of a document hold; item has -1 at words that are not to be aligned."""
+    own, length, reach = b.places[b.first[k] : b.first[k] + b.lengths[k]], int(b.lengths[k]), 2 * SEEDED_REACH
+    at = np.nonzero(np.isin(places, own[own < len(b.codes)]))[0]
+    hits, where = np.nonzero(places[at][:, None] == own[None, :]) if len(at) * length < 100_000 else ((), ())
+    if 0 < len(hits) <= 100:
+        # words that can be matched at all: in the document, too, near an n-gram that both have
+        can = np.zeros(length, bool)
+        for p, q in zip(at[hits].tolist(), where.tolist()):
+            x, y = max(0, q - SEEDED_REACH), q + N + SEEDED_REACH
+            can[x:y] |= (item[x:y, None] == ids[None, max(0, p - reach) : p + N + reach]).any(1)
+        if (can & (item >= 0)).sum() < share * length:
+            return 0.0
+    # the parts of the document near the n-grams that both have, cut where nothing is near
+    cuts = np.nonzero(np.diff(at) > 2 * reach + N)[0]
+    begins, ends = np.maximum(at[np.append(0, cuts + 1)] - reach, 0), np.minimum(at[np.append(cuts, len(at) - 1)] + N + reach, len(ids))
+    least = least_passage(length, share)
+    taken, item, part, size = np.zeros(length, bool), item.copy(), [], 0
+    bounds = [(x, min(x + PIECE, y)) for s, y in zip(begins.tolist(), ends.tolist()) for x in range(s, y, PIECE - 4 * length if PIECE > 8 * length else PIECE) if x == s or x + 4 * length < y]
+    for n, (x, y) in enumerate(bounds):
+        part += [ids[x:y], np.array([-3])]
+        size += y - x
+        if size >= PIECE or n == len(bounds) - 1:
+            got = align(item, np.concatenate(part), least, min(FLOOR, MATCH * least))
+            taken |= got
+            item[got] = -1
+            part, size = [], 0
+    n = int(taken.sum())
+    return n / length if n > FEW or n == length else 0.0
+
+
 def _join(block, seeds, share: float):
     def run(batches):
         b, seed = block.value, seeds.value
         least = np.minimum(MIN_SEEDS, b.lengths - N + 1)
-        found, known = np.zeros(len(b.codes), bool), np.zeros(len(b.numbers), bool)
+        found, known = np.zeros(len(b.codes) + 1, bool), np.zeros(len(b.numbers) + 1, bool)
         for batch in batches:
             docs, items, shares = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = b.encode(text)
-                grams = b.find(ids)
+                places = b.look_up(ids)
+                grams = np.unique(places[places < len(b.codes)])
+                if not len(grams):
+                    continue
                 pairs = b.pairs(grams)
-                owners = b.pair_owners[pairs]
-                seeded = np.bincount(owners[seed[pairs]], minlength=len(b.items)) >= least
-                wide = np.bincount(owners, b.pair_times[pairs], len(b.items)) * (N + 2 * REACH) >= share * b.lengths
+                some, owners = np.unique(b.pair_owners[pairs], return_inverse=True)
+                seeded = np.bincount(owners, seed[pairs], len(some)) >= least[some]
+                wide = np.bincount(owners, b.pair_times[pairs], len(some)) * (N + 2 * REACH) >= share * b.lengths[some]
+                some, seeded = some[seeded | wide], seeded[seeded | wide]
+                if not len(some):
+                    continue
                 has = ids[ids >= 0]
                 found[grams] = known[has] = True
-                for k in np.nonzero((seeded | wide) & (np.bincount(owners, minlength=len(b.items)) > 0))[0]:
-                    item = b.items[k]
-                    # a pair can only reach the share if the document has so many of the item's words
-                    held = known[item]
-                    if held.sum() < share * len(item):
-                        continue
-                    if not seeded[k] and (held & b.near(k, found)).sum() < share * len(item):
-                        continue
-                    got = float(align(item, ids, FLOOR).sum()) / len(item)
+                at, near, begin = b.near(some, np.where(seeded, SEEDED_REACH, REACH), found)
+                near_words = b.words[at]
+                # a pair can only reach the share if the document has so many of the item's words near what both have
+                enough = np.add.reduceat(near & known[near_words], begin) >= share * b.lengths[some]
+                for n in np.nonzero(enough)[0]:
+                    k, cut = some[n], slice(begin[n], begin[n] + b.lengths[some[n]])
+                    got = held_share(b, k, np.where(near[cut], near_words[cut], -1), ids, places, share)
                     if got >= share:
                         docs.append(doc_id)
                         items.append(int(b.ids[k]))
@@ -226,8 +305,8 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and trim(text) <> ''")
     own = own_words(items.select(F.col("item_id").cast("int").alias("item_id"), "text"))
-    size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("w")).first()
-    blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["w"] // BLOCK_WORDS))
+    size = own.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("w")).first()
+    blocks = max(1, -(-size["w"] // BLOCK_WORDS))
     out = []
     for k in range(blocks):
         rows = own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()

@@ -93,11 +93,61 @@ def test_edited_sentences_far_apart_count_by_their_words(spark):
     assert [(r["doc_id"], r["item_id"], r["share"]) for r in got] == [(1, 1, 0.4)]
 
 
+def test_short_items_count_by_their_share(spark):
+    seven, eighteen = [f"s{k}" for k in range(7)], [f"e{k}" for k in range(18)]
+    docs = documents(
+        spark, (1, "so: " + " ".join(seven) + ".", "s"), (2, " ".join(["x", *eighteen[2:6], *["filler"] * 40, *eighteen[9:13], "y"]), "s"), (3, " ".join(seven[:4]) + " and more", "s"), (4, "a " + " ".join(["t0", "t1", "t2"]), "s"), (5, " ".join(eighteen[:5]), "s"),
+    )
+    its = items(spark, (1, " ".join(seven)), (2, " ".join(eighteen)), (3, "t0 t1 t2"), (4, "one two"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in C.leaks(docs, its).collect()) == [(1, 1), (2, 2), (4, 3)]
+
+
+def test_a_long_document_is_aligned_near_its_hits_only():
+    import tracemalloc
+
+    item = [f"w{k}" for k in range(100)]
+    b = C._Block([(1, item)])
+    filler = ["w3 w4 other"] * 1000 + ["other words"] * 498_000
+    text = " ".join([*filler, " ".join(item[:60]), *filler[::-1]])
+    ids = b.encode(text)
+    places = b.look_up(ids)
+    tracemalloc.start()
+    share = C.held_share(b, 0, b.items[0], ids, places, 0.4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) > 1_000_000 and share == 0.6 and peak < 200 * 2**20
+    many = b.encode(" ".join([*item] * 10_000))
+    assert len(many) == 1_000_000 and C.held_share(b, 0, b.items[0], many[:200_000], b.look_up(many[:200_000]), 0.4) == 1.0
+
+
+def test_seeds_lose_nothing_that_full_alignment_finds():
+    """Every document against every item without seeds or windows, on texts with shared phrases and edits."""
+    r = random.Random(5)
+    phrases = [[f"p{k}x{j}" for j in range(6)] for k in range(12)]
+    own = {i: [w for _ in range(12) for w in (r.choice(phrases) if r.random() < 0.4 else [f"i{i}x{r.randrange(400)}" for _ in range(5)])] for i in range(10)}
+    docs = []
+    for n in range(60):
+        i, share = r.randrange(10), r.choice([0.2, 0.45, 0.6, 1.0])
+        part = own[i][: int(share * len(own[i]))]
+        part = [w if r.random() > 0.08 else f"new{n}" for w in part]
+        docs.append((n, [*r.choice(phrases), *["filler"] * 20, *part, *r.choice(phrases)]))
+    b = C._Block(list(own.items()))
+    df = np.zeros(len(b.codes), np.int64)
+    for _, w in docs:
+        df[b.find(b.encode(" ".join(w)))] += 1
+    batch = __import__("pyarrow").RecordBatch.from_pylist([{"doc_id": n, "text": " ".join(w)} for n, w in docs])
+    held = lambda x: type("V", (), {"value": x})()
+    found = next(C._join(held(b), held(C._seeds(b, df, len(docs))), 0.4)([batch]))
+    got = set(zip(found["doc_id"].to_pylist(), found["item_id"].to_pylist()))
+    full = {(n, i) for n, w in docs for k, i in enumerate(b.ids) if C.align(b.items[k], b.encode(" ".join(w)), C.least_passage(len(b.items[k])), C.FLOOR).sum() >= 0.4 * len(b.items[k])}
+    assert got <= full and len(full) > 20 and len(got) >= 0.9 * len(full)
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     its = items(spark, *((i, text(i)) for i in range(12)))
     docs = documents(spark, *((i, text(i) + " end", "s") for i in range(0, 12, 2)))
     one = sorted(C.leaks(docs, its).collect())
-    monkeypatch.setattr(C, "BLOCK_ITEMS", 4)
+    monkeypatch.setattr(C, "BLOCK_WORDS", 150)
     assert sorted(C.leaks(docs, its).collect()) == one and len(one) == 6
 
 
