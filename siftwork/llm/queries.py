@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.text import text_tokens
 from ..sources.tables import table
 from . import contamination, documented_functions, generated_code, mixing, parse_failures, reading_level, splitting, term_frequency
 
@@ -33,6 +35,12 @@ def p2_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     return term_frequency.term_frequencies(table(spark, folder, "postings"))
 
 
+def p2_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Every run of up to three words of the sections, with its occurrences and the sections that hold it."""
+    sections = table(spark, folder, "doc_sections").dropDuplicates(["section_id"]).select("section_id", text_tokens("content").alias("tokens"))
+    return term_frequency.ngrams(sections, "section_id", "tokens", 3).select(F.array_join("gram", " ").alias("gram"), "occurrences", "records")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.cut_kinds(table(spark, folder, "doc_sections"))
 
@@ -84,11 +92,17 @@ def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
     return reading_level.profile(documents, reading_level.reading_levels(documents, table(spark, folder, "reading_labels")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p3_found, p3_pieces, p4_found, p4_rates, p5_found, p5_reasons, p6_found, p6_items, p7_mixture, p7_shares, p7_mixture_full, p7_shares_full, p8_found, p8_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p2_ngrams, p3_found, p3_pieces, p4_found, p4_rates, p5_found, p5_reasons, p6_found, p6_items, p7_mixture, p7_shares, p7_mixture_full, p7_shares_full, p8_found, p8_profile)}
 SQL: dict[str, str] = {
     "p2_frequencies": """
 with once as (select distinct build_id, doc_id, field_id, term, segment_no, tf from postings where term is not null),
 counts as (select lower(regexp_replace(nfc_normalize(term), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) as term, sum(tf)::bigint as occurrences, count(distinct doc_id) as records from once group by 1)
 select term, occurrences, records, case when occurrences <= 3 then 'rare' when records >= 0.3 * (select count(distinct doc_id) from postings) then 'common' end as mark from counts""",
 }
+SQL["p2_ngrams"] = """
+with sec as (select distinct on (section_id) section_id, content from doc_sections),
+toks as (select section_id, list_filter(regexp_extract_all(lower(content), '[\\p{L}\\p{M}\\p{N}_]+'), lambda w: strlen(w) between 2 and 79) as t from sec where content is not null),
+places as (select section_id, t, unnest(range(1, len(t) + 1)) as i from toks),
+grams as (select section_id, array_to_string(t[i:i + n - 1], ' ') as gram from places, (values (1), (2), (3)) sizes(n) where i + n - 1 <= len(t))
+select gram, count(*) as occurrences, count(distinct section_id) as records from grams group by gram"""
 SQL["p2_found"] = f"select term, mark from ({SQL['p2_frequencies']}) where mark is not null"

@@ -2,6 +2,7 @@
 
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -32,6 +33,25 @@ def test_ngrams_against_brute_force(spark, texts, sigma):
     assert {tuple(r["gram"]): (r["occurrences"], r["records"]) for r in got} == brute(rows, sigma)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from("ab"), min_size=1, max_size=3), st.integers(0, 3), st.sampled_from([None, 1, 2])), max_size=40), st.integers(1, 7), st.integers(1, 3))
+def test_batches_of_any_size_count_alike(rows, size, sigma):
+    rows = sorted(((tuple(s[:sigma]), r, d) for s, r, d in rows), key=lambda x: (x[1], x[2] is not None, x[2] or 0))
+    rows.sort(key=lambda x: x[0], reverse=True)  # stable, but reversed among equals
+    rows = [x for s in sorted({r[0] for r in rows}, reverse=True) for x in sorted((r for r in rows if r[0] == s), key=lambda x: (x[1], x[2] is not None, x[2] or 0))]
+    schema = pa.schema([("suffix", pa.list_(pa.string())), ("record", pa.int64()), ("weight", pa.int64()), ("delivery", pa.int64())])
+    batches = [pa.RecordBatch.from_pylist([{"suffix": list(s), "record": r, "weight": 2, "delivery": d} for s, r, d in rows[i : i + size]], schema) for i in range(0, len(rows), size)]
+    got = {tuple(g): (n, k) for b in T._count(batches) for g, n, k in zip(*(b.column(c).to_pylist() for c in range(3)))}
+    once = [x for i, x in enumerate(rows) if x[2] is None or i == 0 or rows[i - 1] != x]
+    expected = {}
+    for s, r, _ in once:
+        for j in range(1, len(s) + 1):
+            n, where = expected.setdefault(s[:j], [0, set()])
+            expected[s[:j]][0] = n + 2
+            where.add(r)
+    assert got == {g: (n, len(w)) for g, (n, w) in expected.items()}
+
+
 def test_a_term_in_every_record_is_spread_over_salts(spark, monkeypatch):
     monkeypatch.setattr(T, "RECORDS_PER_SALT", 10)
     rows = [(i, ["hot", f"w{i}"]) for i in range(300)]
