@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -80,12 +81,13 @@ def least_passage(length: int, share: float = SHARE) -> int:
     return min(MIN_MATCHED, max(N, math.ceil(share * length / 2)))
 
 
-def align(item: np.ndarray, doc: np.ndarray, least: int = MIN_MATCHED, floor: int | None = None) -> np.ndarray:
+def align(item: np.ndarray, doc: np.ndarray, least: int = MIN_MATCHED, floor: int | None = None, wanted: float = 0.0) -> np.ndarray:
     """Which words of the item (as numbers) are matched in passages of the document.
 
     Smith-Waterman, best passage first; the words of a passage are then taken out on both
     sides, and the search goes on until no passage scores the floor.  Only passages that match
-    the least number of words count.  Words of the item below 0 are left out, and so are those
+    the least number of words count.  The search ends as well when too few words are left for a
+    passage, or for the wanted number in all.  Words of the item below 0 are left out, and so are those
     of the document below -2, which end a passage.
     """
     floor = MATCH * least if floor is None else floor
@@ -99,6 +101,10 @@ def align(item: np.ndarray, doc: np.ndarray, least: int = MIN_MATCHED, floor: in
     steps = np.cumsum(costs, dtype=np.int32)
     h = np.zeros((len(item) + 1, len(doc) + 1), np.int32)
     while True:
+        open_words = item[item >= 0]
+        left = int(np.isin(open_words, doc).sum())
+        if left < least or left + taken.sum() < wanted:
+            break
         for i in range(len(item)):
             row = h[i + 1]
             row[:] = 0
@@ -159,6 +165,7 @@ class _Block:
         self.lengths = np.array([len(x) for x in self.items], np.int64)
         # all items one after the other, with room between them that holds nothing
         room = N + SEEDED_REACH
+        self.mark = np.zeros(len(self.codes) + 1, bool)
         self.first = room + np.cumsum(self.lengths + room) - self.lengths - room
         total = int(self.lengths.sum()) + room * (len(self.items) + 1)
         self.words, self.places = np.full(total, len(self.numbers), np.int32), np.full(total, len(self.codes), np.int32)
@@ -180,7 +187,8 @@ class _Block:
 
     def encode(self, text: str) -> np.ndarray:
         get = self.numbers.get
-        return np.array([get(w, -1) for w in words(text)], np.int64)
+        found = words(text)
+        return np.fromiter(map(get, found, repeat(-1)), np.int64, len(found))
 
     def look_up(self, ids: np.ndarray) -> np.ndarray:
         """Index into codes of the n-gram that begins at each place of a text; their number where no item has it."""
@@ -233,7 +241,10 @@ def _count(block):
 def held_share(b: "_Block", k: int, item: np.ndarray, ids: np.ndarray, places: np.ndarray, share: float) -> float:
     """The share of an item's words that passages of a document hold; item has -1 at words that are not to be aligned."""
     own, length, reach = b.places[b.first[k] : b.first[k] + b.lengths[k]], int(b.lengths[k]), 2 * SEEDED_REACH
-    at = np.nonzero(np.isin(places, own[own < len(b.codes)]))[0]
+    b.mark[own] = True
+    b.mark[-1] = False
+    at = np.nonzero(b.mark[places])[0]
+    b.mark[own] = False
     hits, where = np.nonzero(places[at][:, None] == own[None, :]) if len(at) * length < 100_000 else ((), ())
     if 0 < len(hits) <= 100:
         # words that can be matched at all: in the document, too, near an n-gram that both have
@@ -253,7 +264,8 @@ def held_share(b: "_Block", k: int, item: np.ndarray, ids: np.ndarray, places: n
         part += [ids[x:y], np.array([-3])]
         size += y - x
         if size >= PIECE or n == len(bounds) - 1:
-            got = align(item, np.concatenate(part), least, min(FLOOR, MATCH * least))
+            last = n == len(bounds) - 1
+            got = align(item, np.concatenate(part), least, min(FLOOR, MATCH * least), share * length - taken.sum() if last else 0.0)
             taken |= got
             item[got] = -1
             part, size = [], 0
