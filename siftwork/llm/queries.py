@@ -75,6 +75,10 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "source_weights")).report
 
 
+def p7_shares_strict(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "source_weights"), "strict").report
+
+
 def p7_mixture_full(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "source_weights"), "all").records
 
@@ -92,7 +96,7 @@ def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
     return reading_level.profile(documents, reading_level.reading_levels(documents, table(spark, folder, "reading_labels")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p2_ngrams, p3_found, p3_pieces, p4_found, p4_rates, p5_found, p5_reasons, p6_found, p6_items, p7_mixture, p7_shares, p7_mixture_full, p7_shares_full, p8_found, p8_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_frequencies, p2_ngrams, p3_found, p3_pieces, p4_found, p4_rates, p5_found, p5_reasons, p6_found, p6_items, p7_mixture, p7_shares, p7_shares_strict, p7_mixture_full, p7_shares_full, p8_found, p8_profile)}
 SQL: dict[str, str] = {
     "p2_frequencies": """
 with once as (select distinct build_id, doc_id, field_id, term, segment_no, tf from postings where term is not null),

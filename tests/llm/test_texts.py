@@ -183,11 +183,35 @@ def test_apportionment_against_brute_force(shares, seats):
 def test_caps_pass_blocks_on():
     plan = M.apportion({"a": 10, "b": 1000}, {"a": 0.5, "b": 0.5}, {"a": 2, "b": 1}, 100.0, 100, 1)
     assert plan.quotas == {"a": 20, "b": 80}
-    exact = M.apportion({"a": 10, "b": 1000}, {"a": 0.5, "b": 0.5}, {"a": 2, "b": 1}, None, 100, 1)
+    exact = M.apportion({"a": 10, "b": 1000}, {"a": 0.5, "b": 0.5}, {"a": 2, "b": 1}, "strict", 100, 1)
     assert exact.quotas == {"a": 50, "b": 50} and exact.block * 100 == pytest.approx(40)
     assert M.apportion({}, {"a": 1.0}, {"a": 1}).awards == []
 
 
+def test_a_small_source_does_not_set_the_size():
+    sizes, shares, once = {"tiny": 10, "b": 5000, "c": 9000}, {"tiny": 0.1, "b": 0.4, "c": 0.5}, {"tiny": 1, "b": 1, "c": 1}
+    plan = M.apportion(sizes, shares, once, None, 1000, 1)
+    assert plan.total == 12500 and plan.quotas == {"tiny": 1, "b": 400, "c": 500} and plan.wanted == {"tiny": 10, "b": 5000, "c": 6250}
+    assert M.apportion(sizes, shares, once, None, 1000, 1, least=100).block >= 100
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_shares_of_the_tables_are_reached(spark, data, scale):
+    folder = data.replace("sf0.001", scale)
+    mix = M.mix(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/source_weights.parquet"))
+    rows = [r for r in mix.report.collect() if r["records"]]
+    record = mix.records.agg({"tokens": "max"}).first()[0]
+    total = sum(r["target_tokens"] for r in rows)
+    able = [r for r in rows if r["available_tokens"] * r["max_repeats"] >= r["target_tokens"]]
+    assert sum(r["target_tokens"] for r in able) >= 0.8 * total and sum(r["tokens"] for r in rows) >= 0.8 * total and len(rows) > 20
+    for r in able:
+        assert abs(r["tokens"] - r["target_tokens"]) <= max(0.01 * r["target_tokens"], record), r
+        assert r["most_copies"] <= r["max_repeats"]
+    for r in rows:
+        if r not in able:
+            assert r["tokens"] == r["available_tokens"] * r["max_repeats"] and r["shortfall_tokens"] > 0
+
+
 def test_mixture(spark):
     rows = [(i, f"words number {i} " * 5, " Big\t" if i % 2 else "big") for i in range(300)]
     rows += [(1000 + i, f"few {i} " * 15, "small") for i in range(10)] + [(5000, "alone", None), (5001, "unlisted", "other"), (5002, "", "big"), (5003, None, "big"), (0, "words number 0 " * 5, "big")]
