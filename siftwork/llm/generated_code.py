@@ -3,8 +3,10 @@
 One pass over the table.  A multi-pattern automaton looks for generation and third-party
 notices in the comments that head a file; path rules know vendored and generated
 folders, lock files and the suffixes of minified and generated files; the text itself
-shows minified code (most of it in very long lines), data stored as code (most of it
-literals) and the evenly repeating declarations that tools emit.  Files over the size
+shows minified code (half of it or more in very long lines), data stored as code (seven tenths
+of it or more literals, TABLE_LITERALS at least or in very long lines) and the evenly repeating declarations that
+tools emit (EVEN_LINES lines at least); these numbers say what such a thing is, and hold
+for texts of any size.  Files over the size
 limit come without content and are judged by path, size and the scanner's reports.
 
 Defined results: rows of an unsupported extension or without a path are never returned;
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from .parse_failures import language
 
 SIZE_LIMIT = 10 * 1024 * 1024
+#: Characters of a very long line; literals that make a table; lines that make a repetition.
+LONG_LINE, TABLE_LITERALS, EVEN_LINES = 400, 8, 12
 
 # Phrases of notices, in lower case; folders and suffixes.
 GENERATED_NOTICES = (
@@ -84,10 +88,10 @@ def header(text: str) -> str:
 
 
 def evenly_repeating(text: str) -> bool:
-    """Whether the lines, words masked, repeat with a short period throughout (ten lines or more)."""
+    """Whether the lines, words masked, repeat with a short period throughout (EVEN_LINES or more)."""
     lines = [s for s in (x.strip() for x in _WORD.sub("w", text).split("\n")) if s and not s.startswith(("//", "#", "/*", "*"))]
     n = len(lines)
-    if n < 12:
+    if n < EVEN_LINES:
         return False
     return any(sum(a == b for a, b in zip(lines, lines[p:])) >= 0.8 * (n - p) for p in range(2, 9))
 
@@ -96,16 +100,17 @@ def reasons(text: str) -> list[str]:
     """What in a text speaks against a human author."""
     found = {kind for _, kind in _automaton().iter(header(text))}
     size = len(text)
-    long = sum(len(line) for line in text.split("\n") if len(line) > 400) if size > 400 else 0
-    dense = _WHITE.sub("", text) if size > 200 else ""
-    if dense:
-        literal = len(dense) - len(_LITERAL.sub("", dense)) if long or sum(map(dense.count, "0123456789")) > 0.25 * len(dense) or dense.count('"') > 0.05 * len(dense) else 0
-        if literal >= 0.7 * len(dense):
+    long = sum(len(line) for line in text.split("\n") if len(line) > LONG_LINE) if size > LONG_LINE else 0
+    dense = _WHITE.sub("", text)
+    if long or sum(map(dense.count, "0123456789")) > 0.25 * len(dense) or sum(map(dense.count, "\"'`")) > 0.05 * len(dense):
+        bare, literals = _LITERAL.subn("", dense)
+        blob = long >= 0.5 * size > 0
+        if (blob or literals >= TABLE_LITERALS) and len(dense) - len(bare) >= 0.7 * len(dense):
             found.add("data")
-        elif long >= 0.5 * size:
+        elif blob:
             found.add("minified")
-        if evenly_repeating(text):
-            found.add("evenly repeating")
+    if evenly_repeating(text):
+        found.add("evenly repeating")
     return sorted(found)
 
 

@@ -93,6 +93,13 @@ def test_not_handwritten(spark):
     assert generated_code.not_handwritten(files(spark), reports(spark)).count() == 0
 
 
+def test_a_short_table_is_data():
+    assert "data" in generated_code.reasons("T = [1.25, 2.5, 3.75, 4.125,\n 5.5, 6.25, 7.5, 8.75]\n")
+    assert generated_code.reasons('NAME = "a fairly long description of this thing"\nN = 1\n') == []
+    assert "minified" in generated_code.reasons("var a=b(c),d=e(f);" * 30)
+    assert generated_code.reasons("a = b\n" * 11) == [] and generated_code.reasons("x = y\nf(z)\n" * 6) == ["evenly repeating"]
+
+
 def test_size_alone_tells_an_oversized_file(spark):
     f = spark.createDataFrame([(1, 1, 1, "a.py", 20 * 2**20, None, "", True, "")], FILES)
     assert generated_code.not_handwritten(f, reports(spark)).count() == 1
