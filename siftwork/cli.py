@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
 
-from .functions.render import json_lines, parse_report_lines, report_json, text_line
+from .functions.render import json_lines, overview_json, overview_lines, parse_report_lines, text_line
 from .functions.text import validate_query
 from .operators.search import Filters
-from .plans.engine import Engine
+from .plans.engine import Engine, stored_engine
 from .sources import artifacts, clone
 
 
@@ -35,15 +37,14 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
-def folder_of(source: str) -> str:
-    """The folder itself, or the clone of a repository (made from its public address if it is missing)."""
-    import os
-
+def engine_of(spark: SparkSession, source: str, with_index: bool) -> Engine:
+    """The engine of a folder, parsed anew, or of a repository: its clone (made from its public
+    address if it is missing) and the stored corpus and index of it, while they fit."""
     if os.path.isdir(source):
-        return source
+        return Engine.from_dir(spark, source)
     spec = artifacts.Spec.parse(source)
-    target = artifacts.artifact_dir(spec) / "clone"
-    return str(clone.clone(f"https://github.com/{spec.owner}/{spec.repo}.git", target, spec.ref))
+    root = clone.clone(f"https://github.com/{spec.owner}/{spec.repo}.git", artifacts.artifact_dir(spec) / "clone", spec.ref)
+    return stored_engine(spark, str(root), spec, with_index=with_index)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout) -> int:
@@ -55,21 +56,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
         return 0
     if args.command == "search":
         validate_query(args.query)
-    engine = Engine.from_dir(spark or SparkSession.builder.appName("siftwork").getOrCreate(), folder_of(args.source))
+    spark = spark or SparkSession.builder.appName("siftwork").getOrCreate()
+    engine = engine_of(spark, args.source, args.command == "search")
     if args.verbose:
-        for row in engine.report().collect():
-            print("\n".join(parse_report_lines(row)), file=sys.stderr)
+        report = engine.report().first() if engine.fresh else None
+        print("\n".join(parse_report_lines(report)), file=sys.stderr)
     if args.command == "search":
         found = engine.search(args.query, args.limit, Filters.of(args.dir, args.ext, args.type and args.type.capitalize()))
-        lines = json_lines(found) if args.format == "json" else found.select(text_line())
-        for row in lines.collect():
+        for row in (json_lines(found) if args.format == "json" else found.select(text_line())).collect():
             print(row[0], file=out)
-        return 0
-    for name, df in engine.overview().items():
-        rows = report_json(df.drop("repo_id")).collect() if args.format == "json" else df.drop("repo_id").collect()
-        print(f"# {name}", file=out)
-        for row in rows:
-            print(row[0] if args.format == "json" else "  ".join(f"{k}={v}" for k, v in row.asDict().items() if v is not None), file=out)
+    else:
+        o = engine.overview()
+        for row in overview_json(o.meta, o.shown, o.tests, o.hints, args.source, "repo_id").collect():
+            print(row["value"] if args.format == "json" else "\n".join(overview_lines(json.loads(row["value"]))), file=out)
+    artifacts.evict(artifacts.cache_root())
     return 0
 
 

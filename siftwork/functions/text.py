@@ -138,7 +138,7 @@ def substitute_alias(target: Column, captured: Column) -> Column:
 
 
 # Fixed value: the endings that a specifier without one is tried with.
-MODULE_ENDINGS = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs")
+MODULE_ENDINGS = ("ts", "tsx", "js", "jsx", "mts", "cts", "mjs", "cjs")
 
 
 def module_candidates(path: Column) -> Column:

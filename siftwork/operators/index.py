@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +22,20 @@ class Index:
     doc_store: DataFrame  # see schemas.DOC_STORE
     total_docs: DataFrame  # one row: n
 
+    @cached_property
+    def constants(self) -> tuple[int, dict[int, float]]:
+        """(number of documents, average length of each field): five numbers, read once for an index."""
+        rows = self.field_stats.select(F.col("field_id").cast("int").alias("field_id"), average_length().alias("avgdl")).collect()
+        return self.total_docs.first()["n"], {r["field_id"]: r["avgdl"] for r in sorted(rows)}
+
     def save(self, folder: str, files: int | None = None) -> None:
         """Parquet, postings and frequencies in order of terms, so that a query reads few row groups."""
         for name in ("postings", "doc_freqs"):
             df = getattr(self, name)
             ranged = df.repartitionByRange(files, "term") if files else df.repartitionByRange("term")
             order = ["term", "doc_id", "field_id"] if name == "postings" else ["term"]
-            ranged.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/{name}")
+            # a bloom filter and small row groups let a scan skip what a query does not ask for
+            ranged.sortWithinPartitions(*order).write.mode("overwrite").option("parquet.bloom.filter.enabled#term", True).option("parquet.block.size", 16 * 1024**2).parquet(f"{folder}/{name}")
         for name in ("field_stats", "doc_store", "total_docs"):
             getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
 

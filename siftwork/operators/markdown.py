@@ -52,11 +52,14 @@ def sections(files: DataFrame, *keys: str) -> DataFrame:
     blocks = F.array_distinct(F.transform("code", lambda x: x["block"]))
     symbols = F.flatten(F.transform(blocks, lambda b: code_identifiers(F.array_join(F.transform(F.filter("code", lambda x: x["block"] == b), lambda x: x["line"]), "\n"))))
     made = cut.withColumn("content", content).withColumn("code_symbols", symbols)
-    # headings of the file so far, as a stack: deeper or equal ones go when a heading comes
-    seen = F.array_sort(F.collect_list(F.when(F.col("depth").isNotNull(), F.struct("section", "depth", "section_title"))).over(Window.partitionBy(*by).orderBy("section").rowsBetween(Window.unboundedPreceding, 0)))
-    empty = F.array().cast("array<struct<section:bigint,depth:int,section_title:string>>")
-    stack = F.aggregate(seen, empty, lambda acc, x: F.concat(F.filter(acc, lambda y: y["depth"] < x["depth"]), F.array(x)))
-    made = made.withColumn("heading_hierarchy", F.transform(stack, lambda x: x["section_title"]))
+    # the last heading of each depth so far; it stands above the section if no heading of a lesser depth came after it
+    sofar = Window.partitionBy(*by).orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
+    made = made.withColumns({f"head{d}": F.last(F.when(F.col("depth") == d, F.struct("section", F.col("section_title").alias("title"))), ignorenulls=True).over(sofar) for d in range(1, 7)})
+    levels = []
+    for d in range(1, 7):
+        above = F.greatest(F.lit(-1), *(F.coalesce(F.col(f"head{e}.section"), F.lit(-1)) for e in range(1, d)), F.lit(-1))
+        levels.append(F.when((F.col("depth") >= d) & (F.col(f"head{d}.section") > above), F.col(f"head{d}.title")))
+    made = made.withColumn("heading_hierarchy", F.array_compact(F.array(*levels)))
     kept = made.where(~_blank(F.col("content")) | (F.col("section_title").isNotNull() & (F.size("code_symbols") > 0)))
     own = kept.select(*by, F.coalesce("section_title", F.lit("Introduction")).alias("section_title"), "heading_hierarchy", "content", "code_symbols", F.col("first").cast("int").alias("start_line"), F.col("last").cast("int").alias("end_line"), "section")
     bare = files.where(F.col("content").rlike(r"\S")).join(kept.select(*by).distinct(), by, "left_anti")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions.stemming import stem
+from ..plans.lineage import written
 from ..schemas import FIELD_WEIGHTS
-from .index import Index, average_length
+from .index import Index
 
 _K1, _B = 1.2, 0.75
 
@@ -79,26 +81,70 @@ def query_terms(queries: DataFrame, stemming: bool = True, identifiers: bool = F
     return queries.select("query_id", F.posexplode(tokens).alias("qpos", "term"))
 
 
-def scores(index: Index, terms: DataFrame, filters: Filters = Filters(), weights: tuple[float, ...] = FIELD_WEIGHTS) -> DataFrame:
-    """(query_id, doc_id, score).  Filters take documents out, never change the statistics.
+#: Query terms that are sent to every task (beyond, they are joined by a shuffle), and different
+#: ones that the scan of the postings is asked for by value.
+BROADCAST_TERMS, PUSHED_TERMS = 500_000, 2_000
+
 
-    Scores add up in float in the order of query word and field, so equal documents get
-    equal scores however the data are partitioned.
+def _known(index: Index, terms: DataFrame) -> tuple[DataFrame, bool]:
+    """(query terms with their df, whether they are few enough to be broadcast).
+
+    Where the different terms are few, the frequencies are read by value, so that the scan skips
+    the row groups without them.
     """
-    w = F.array(*map(_float, weights))
-    stats = index.field_stats.select("field_id", average_length().alias("avgdl"))
-    known = terms.join(index.doc_freqs, "term")
-    total = index.total_docs.select("n", F.lit(1).alias("one"))
-    hits = known.join(index.postings, "term")
+    terms = written(terms, "terms")
+    size = terms.agg(F.count("*").alias("rows"), F.count_distinct("term").alias("terms")).first()
+    few = size["rows"] <= BROADCAST_TERMS
+    freqs = index.doc_freqs
+    if size["terms"] <= PUSHED_TERMS:
+        freqs = freqs.where(F.col("term").isin([r["term"] for r in terms.select("term").distinct().collect()]))
+    return freqs.join(F.broadcast(terms) if few else terms.hint("shuffle_hash"), "term"), few
+
+
+def _hits(index: Index, terms: DataFrame) -> DataFrame:
+    """The postings of query terms.  Postings are never broadcast; beyond BROADCAST_TERMS they are
+    shuffled, and a hot term's part is split by adaptive execution."""
+    known, few = _known(index, terms)
+    if not few:
+        return index.postings.hint("merge").join(known, "term")
+    known = written(known, "known")
+    postings, found = index.postings, known.select("term").distinct().limit(PUSHED_TERMS + 1).collect()
+    if len(found) <= PUSHED_TERMS:
+        postings = postings.where(F.col("term").isin([r["term"] for r in found]))
+    return postings.join(F.broadcast(known), "term")
+
+
+def _within(hits: DataFrame, index: Index, filters: Filters) -> DataFrame:
     condition = filters.condition()
-    if condition is not None:
-        hits = hits.join(index.doc_store.where(condition).select("doc_id"), "doc_id", "left_semi")
-    hits = hits.join(F.broadcast(stats), "field_id").withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
-    weight = F.coalesce(F.get(w, F.col("field_id").cast("int")), _float(0.0))
-    part = _float(_float(idf(F.col("df"), F.col("n")) * tf_norm(F.col("tf"), F.col("dl"), F.col("avgdl"))) * weight)
-    one = hits.select("query_id", "doc_id", F.struct("qpos", "field_id", part.alias("s")).alias("part"))
-    parts = F.transform(F.array_sort(F.collect_list("part")), lambda x: x["s"])
-    return one.groupBy("query_id", "doc_id").agg(F.aggregate(parts, _float(0.0), lambda a, x: _float(a + x)).alias("score"))
+    return hits if condition is None else hits.join(index.doc_store.where(condition).select("doc_id"), "doc_id", "left_semi")
+
+
+def _part(n: Column, df: Column, avgdl: Column, weights: tuple[float, ...]) -> Column:
+    """What one posting adds to the score."""
+    weight = F.coalesce(F.get(F.array(*map(_float, weights)), F.col("field_id").cast("int")), _float(0.0))
+    return _float(_float(idf(df, n) * tf_norm(F.col("tf"), F.col("dl"), avgdl)) * weight)
+
+
+def _summed(parts: DataFrame, *by: str) -> DataFrame:
+    """Parts (qpos, field_id, s) add up in float in the order of query word and field, so equal
+    documents get equal scores however the data are partitioned."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("qpos", "field_id", "s"))), lambda x: x["s"])
+    return parts.groupBy(*by).agg(F.aggregate(ordered, _float(0.0), lambda a, x: _float(a + x)).alias("score"))
+
+
+def scores(index: Index, terms: DataFrame, filters: Filters = Filters(), weights: tuple[float, ...] = FIELD_WEIGHTS) -> DataFrame:
+    """(query_id, doc_id, score) of (query_id, qpos, term).  Filters take documents out, never change the statistics."""
+    n, average = index.constants
+    fields = F.create_map(*(x for k, v in average.items() for x in (F.lit(k), _float(v)))) if average else F.create_map().cast("map<int,float>")
+    avgdl = F.coalesce(F.try_element_at(fields, F.col("field_id").cast("int")), _float(0.0))
+    hits = _within(_hits(index, terms), index, filters)
+    return _summed(hits.select("query_id", "doc_id", "qpos", "field_id", _part(F.lit(n), F.col("df"), avgdl, weights).alias("s")), "query_id", "doc_id")
+
+
+def driver_terms(spark: SparkSession, query: str, stemming: bool = True) -> list[str]:
+    """The words of one query, repeats kept, by the same expressions; no job is run."""
+    words = spark.sql("select :query as query", args={"query": query}).select(X.text_tokens("query").alias("words")).first()["words"] or []
+    return [stem(w) for w in words] if stemming else words
 
 
 def best(scored: DataFrame, k: int, salts: int = 32) -> DataFrame:
@@ -122,9 +168,26 @@ def search_many(index: Index, queries: DataFrame, k: int = 10, filters: Filters
 
 
 def search(index: Index, query: str, k: int = 10, filters: Filters = Filters(), stemming: bool = True, weights: tuple[float, ...] = FIELD_WEIGHTS) -> DataFrame:
-    """The k best documents of one query, best first; none for k of 0 or a query without words."""
+    """The k best documents of one query, best first; none for k of 0 or a query without words.
+
+    The words are known to the driver, so postings and frequencies are read by value; the
+    constants of an index are read once.
+    """
     spark: SparkSession = index.postings.sparkSession
-    queries = spark.createDataFrame([(0, query)], "query_id int, query string")
-    scored = scores(index, query_terms(queries, stemming), filters, weights).select("doc_id", "score")
-    top = scored.orderBy(F.desc("score"), "doc_id").limit(max(k, 0))
-    return top.join(index.doc_store, "doc_id").orderBy(F.desc("score"), "doc_id")
+    terms = driver_terms(spark, query, stemming)
+    nothing = index.doc_store.where("false").select("doc_id", _float(0.0).alias("score"), *(c for c in index.doc_store.columns if c != "doc_id"))
+    if not terms or k <= 0:
+        return nothing
+    n, average = index.constants
+    wanted = F.col("term").isin(sorted(set(terms)))
+    df = {r["term"]: r["df"] for r in index.doc_freqs.where(wanted).collect()}
+    places = {t: [i for i, x in enumerate(terms) if x == t] for t in df}
+    if not df or not average:
+        return nothing
+    table = F.create_map(*(x for t in df for x in (F.lit(t), F.struct(F.array(*map(F.lit, places[t])).alias("qpos"), F.lit(df[t]).cast("long").alias("df")))))
+    fields = F.create_map(*(x for f, v in average.items() for x in (F.lit(f), _float(v))))
+    avgdl = F.coalesce(F.try_element_at(fields, F.col("field_id").cast("int")), _float(0.0))
+    hits = _within(index.postings.where(F.col("term").isin(sorted(df))), index, filters).withColumn("q", F.try_element_at(table, F.col("term")))
+    parts = hits.select("doc_id", F.explode("q.qpos").alias("qpos"), "field_id", _part(F.lit(n), F.col("q.df"), avgdl, weights).alias("s"))
+    top = _summed(parts, "doc_id").orderBy(F.desc("score"), "doc_id").limit(k)
+    return F.broadcast(top).join(index.doc_store, "doc_id").orderBy(F.desc("score"), "doc_id") if k <= 10_000 else top.join(index.doc_store, "doc_id").orderBy(F.desc("score"), "doc_id")

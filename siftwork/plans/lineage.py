@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a local one of our own."""
+    """The folder named by spark.checkpoint.dir.  Where it is unset, a session in one machine (as in
+    tests) gets a folder of its own; a cluster is refused, as its executors share no local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="siftwork-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -64,10 +64,19 @@ def cache_root() -> Path:
     return Path(base) / _TOOL
 
 
-def artifact_dir(spec: Spec, root: Path | None = None) -> Path:
+def _place(spec: Spec) -> str:
     """The ref is part of the path, so two refs of a repository never answer for each other."""
     ref = re.sub(r"[^A-Za-z0-9._-]", "_", spec.ref) if spec.ref else "HEAD"
-    return (root or cache_root()) / "repos" / component(spec.owner) / component(spec.repo) / component(ref)
+    return "/".join(("repos", component(spec.owner), component(spec.repo), component(ref)))
+
+
+def artifact_dir(spec: Spec, root: Path | None = None) -> Path:
+    return (root or cache_root()) / _place(spec)
+
+
+def artifact_uri(spec: Spec, root: str | Path | None = None) -> str:
+    """The same below a root that may be a URI."""
+    return f"{str(root or cache_root()).rstrip('/')}/{_place(spec)}"
 
 
 def save_meta(folder: str | Path, commit: str) -> Meta:
@@ -125,7 +134,18 @@ def evict(root: Path, limit: int = CACHE_LIMIT) -> list[str]:
     return gone
 
 
-def evicted(sizes: DataFrame, limit: int, *keys: str) -> DataFrame:
-    """The same choice over a table (keys, path, size, touched_at): newest first, all beyond the limit."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("touched_at"), F.desc("path")).rowsBetween(Window.unboundedPreceding, 0)
-    return sizes.withColumn("kept_size", F.sum("size").over(w)).where(F.col("kept_size") > limit)
+def evicted(sizes: DataFrame, limit: int, *keys: str, buckets: int = 64) -> DataFrame:
+    """The same choice over a table (keys, path, size, touched_at): newest first, all beyond the limit.
+
+    The running size is made in two steps, over ranges of the time a key was touched in and then
+    within a range, so that a key with very many rows is not sorted in one task.
+    """
+    by = list(keys)
+    spans = sizes.groupBy(*by).agg(F.min("touched_at").cast("double").alias("_lo"), F.max("touched_at").cast("double").alias("_hi"))
+    width = F.greatest((F.col("_hi") - F.col("_lo")) / buckets, F.lit(1e-9))
+    placed = sizes.join(spans, by).withColumn("_b", F.coalesce(F.floor((F.col("_hi") - F.col("touched_at").cast("double")) / width), F.lit(buckets)))
+    sums = placed.groupBy(*by, "_b").agg(F.sum("size").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("size").over(Window.partitionBy(*by, "_b").orderBy(F.desc("touched_at"), F.desc("path")).rowsBetween(Window.unboundedPreceding, 0))
+    kept = placed.join(sums.select(*by, "_b", before.alias("_before")), [*by, "_b"]).withColumn("kept_size", F.col("_before") + inside)
+    return kept.where(F.col("kept_size") > limit).drop("_lo", "_hi", "_b", "_before")

@@ -94,7 +94,7 @@ def rules(root: str) -> list[tuple[str, str | None, str, list[str]]]:
         done.add(scope)
         base, found = _load(root, path, frozenset())
         out += [(scope, base, pattern, targets) for pattern, targets in sorted(found.items())]
-        if base is not None and not found:
+        if base is not None:  # specifiers are looked for below the base folder besides
             out.append((scope, base, "*", [posixpath.join(base, "*") if base else "*"]))
     return out
 

@@ -39,8 +39,7 @@ def test_against_sql(spark, data, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, data, name):
-    df = QUERIES[name](spark, data)
-    assert df.columns and df.count() >= 0
+    assert QUERIES[name](spark, data).count() > 0
 
 
 def test_entry(spark):

@@ -90,6 +90,39 @@ def test_stored_index(spark, mixed, tmp_path):
     assert hits(search.search(again, "validate token")) == hits(search.search(mixed, "validate token"))
 
 
+def explained(df, capsys):
+    df.explain("formatted")
+    return capsys.readouterr().out
+
+
+def test_scans_are_asked_for_the_terms(spark, mixed, tmp_path, capsys):
+    mixed.save(str(tmp_path), 2)
+    loaded = index.Index.load(spark, str(tmp_path))
+    plan = explained(search.search(loaded, "validate token", 5), capsys)
+    pushed = [x for x in plan.splitlines() if x.startswith("PushedFilters") and "In(term" in x]
+    assert pushed and "valid" in pushed[0] and "token" in pushed[0]
+    queries = spark.createDataFrame([(1, "validate token"), (2, "guide")], "query_id int, query string")
+    plan = explained(search.scores(loaded, search.query_terms(queries)), capsys)
+    assert any("In(term" in x and "guid" in x for x in plan.splitlines() if x.startswith("PushedFilters"))
+    # what is broadcast are the query terms: the postings, on the left, are read where they are
+    search.scores(loaded, search.query_terms(queries)).explain()
+    tree = capsys.readouterr().out.splitlines()
+    joins = [x for x in tree if "Join [" in x]
+    scan, sent = (next(i for i, x in enumerate(tree) if mark in x) for mark in ("FileScan parquet [term#", "BroadcastExchange"))
+    assert len(joins) == 1 and "BroadcastHashJoin" in joins[0] and "BuildRight" in joins[0] and "doc_id#" in tree[scan] and scan < sent
+
+
+def test_many_terms_are_joined_by_a_shuffle(spark, mixed, monkeypatch, capsys):
+    queries = spark.createDataFrame([(1, "validate token"), (2, "guide"), (3, "login token token"), (4, "")], "query_id int, query string")
+    rows = lambda: sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in search.search_many(mixed, queries, 2).collect())
+    few = rows()
+    monkeypatch.setattr(search, "PUSHED_TERMS", 1)
+    assert rows() == few and len(few) > 3
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 1)
+    assert rows() == few
+    assert "SortMergeJoin" in explained(search.scores(mixed, search.query_terms(queries)), capsys)
+
+
 def test_nulls_and_empty_tables(spark):
     rows = [Row(doc_id=0, name=None, kind=None, filepath=None, start_line=None, end_line=None, params=None, comment=None, export=None), Row(doc_id=1, name="x" * 200_000, kind="Function", filepath="a.py", start_line=1, end_line=1, params=[None, "tokenName"], comment=None, export=None)]
     i = index.build(index.code_documents(spark.createDataFrame(rows, SYMBOL)).unionByName(docs(spark, (2, None, None, None), (3, "", "", ""))))

@@ -3,14 +3,16 @@
 import io
 import json
 import os
+import subprocess
 
 import pytest
 
 from siftwork import cli
 from siftwork.operators import search
 from siftwork.operators.search import Filters
-from siftwork.plans.engine import Engine, stored_index
+from siftwork.plans.engine import Engine, stored_engine, stored_index
 from siftwork.sources import artifacts, clone, files, module_config
+from siftwork.sources.store import Store
 from siftwork.streaming import incremental
 
 SAMPLE = {
@@ -60,49 +62,113 @@ def test_sections_and_ranking(engine):
 
 
 def test_filters(engine):
-    code = engine.search("demo login token", filters=Filters.of(["examples"], ["ts"], "Code")).collect()
+    code = engine.search("demo sign in token", filters=Filters.of(["examples"], ["ts"], "Code")).collect()
     assert [(h["name"], h["is_example"]) for h in code] == [("demoLogin", True)]
-    docs = engine.search("refresh token usage", filters=Filters.of(["docs"], ["md"], "Doc")).collect()
+    docs = engine.search("refresh the token again", filters=Filters.of(["docs"], ["md"], "Doc")).collect()
     assert {h["doc_type"] for h in docs} == {"Doc"} and "Refresh token usage" in [h["section"] for h in docs]
 
 
 def test_overview(engine):
     o = engine.overview()
-    cards = {r["name"]: r for r in o["cards"].collect()}
+    cards = {r["name"]: r for r in o.shown.collect()}
     assert cards["validateToken"]["signature"] == "validateToken(token, secret)" and cards["createSession"]["signature"] == "createSession(token, secret)"
     assert {"Session", "UserSession"} <= set(cards)
-    assert "tests/auth_test.rs" in [r["test_path"] for r in o["tests"].collect()]
-    assert any("validateToken" in r["target"] or "createSession" in r["target"] for r in o["hints"].collect())
-    assert o["coverage"].count() == 1
+    assert [t["test_name"] for t in cards["createSession"]["tests"]] == ["validate_token_works"]
+    assert "tests/auth_test.rs" in [r["test_path"] for r in o.tests.collect()]
+    assert any("validateToken" in r["target"] or "createSession" in r["target"] for r in o.hints.collect())
+    assert [tuple(r)[1:4] for r in o.meta.collect()] == [("Complete", "Partial", "Partial")]
 
 
 def test_rows_in_memory(spark):
     e = Engine.from_rows(spark, [("a.ts", "export function loadPage() {}\n"), ("b.md", "# Load\npages\n")])
-    assert {r["doc_type"] for r in e.search("load").collect()} == {"Code", "Doc"}
+    assert {r["doc_type"] for r in e.search("load").collect()} == {"Code", "Doc"} and e.doc_count == 2
     assert Engine.from_rows(spark, []).search("load").count() == 0
+    more = e.add([("a.ts", "export function savePage() {}\nexport function dropPage() {}\n"), ("c.py", "def load(): pass\n")])
+    assert more.doc_count == 4 and {r["name"] for r in more.search("page load").collect() if r["name"]} == {"savePage", "dropPage", "load"}
 
 
-def test_command_line(spark, repo):
+def said(spark, *args):
     out = io.StringIO()
-    assert cli.main(["search", str(repo), "validate token", "-n", "2"], spark, out) == 0
-    lines = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert cli.main([*map(str, args)], spark, out) == 0
+    return out.getvalue()
+
+
+def test_command_line(spark, repo):
+    lines = [json.loads(x) for x in said(spark, "search", repo, "validate token", "-n", "2").splitlines()]
     assert len(lines) == 2 and all(len(x) == 1 for x in lines) and "Code" in lines[0]
-    out = io.StringIO()
-    cli.main(["search", str(repo), "jwt session", "-f", "text", "--type", "doc"], spark, out)
-    assert out.getvalue().startswith('[doc]  docs/guide.md#Opening  "')
-    out = io.StringIO()
-    cli.main(["overview", str(repo)], spark, out)
-    assert "# coverage" in out.getvalue() and '"summary":null' in out.getvalue()
+    assert said(spark, "search", repo, "jwt session", "-f", "text", "--type", "doc").startswith('[doc]  docs/guide.md#Opening  "')
+    report = json.loads(said(spark, "overview", repo))
+    assert list(report) == ["meta", "public_apis", "public_types", "public_api_tests", "entry_hints"] and report["meta"]["coverage"]["test_linkage"] == "Partial"
+    assert report["public_apis"][0]["tests"][0]["display_name"] == "validate_token_works" and {t["comment_summary"] for t in report["public_types"]} == {None, "/ Holds entries."}
+    assert report["entry_hints"][0]["reason"] == "top public API" and report["entry_hints"][-1]["action"] == "ReadPath"
+    text = said(spark, "overview", repo, "-f", "text").splitlines()
+    heads = ["public_api:", "public_types:", "public_api_tests:", "entry_hints:"]
+    assert text[0].startswith("repo: ") and [x for x in text if x in heads] == heads and "    tests: validate_token_works" in text
     with pytest.raises(ValueError):
-        cli.main(["search", str(repo), "日本"], spark, out)
+        cli.main(["search", str(repo), "日本"], spark, io.StringIO())
+
+
+def commit_all(folder):
+    for args in (["init", "-q"], ["add", "-A"], ["-c", "user.name=a", "-c", "user.email=a@b", "commit", "-qm", "x"]):
+        subprocess.run(["git", "-C", str(folder), *args], check=True)
+
+
+def test_command_line_uses_what_is_stored(spark, tmp_path, monkeypatch, capsys):
+    root = tmp_path / "siftwork"
+    monkeypatch.setenv("SIFTWORK_CACHE_DIR", str(root))
+    folder = artifacts.artifact_dir(artifacts.Spec("o", "r")) / "clone"
+    for path, text in SAMPLE.items():
+        (folder / path).parent.mkdir(parents=True, exist_ok=True)
+        (folder / path).write_text(text)
+    commit_all(folder)
+    first = said(spark, "search", "o/r", "validate token", "--verbose")
+    assert "parsed 6 files" in capsys.readouterr().err
+    assert said(spark, "search", "o/r", "validate token", "--verbose") == first and "cached" in capsys.readouterr().err
+    said(spark, "overview", "o/r", "--verbose")
+    assert "cached" in capsys.readouterr().err
+    (folder / "src/extra.ts").write_text("export function validateTokenTwice() {}\n")
+    commit_all(folder)
+    assert "validateTokenTwice" in said(spark, "search", "o/r", "validate token twice", "--verbose") and "parsed 7 files" in capsys.readouterr().err
+    monkeypatch.setattr(artifacts, "CACHE_LIMIT", 1)
+    monkeypatch.setattr(artifacts.evict, "__defaults__", (1,))
+    said(spark, "search", "o/r", "token")
+    assert not folder.exists()
 
 
 def test_stored_index_is_reused_while_it_fits(spark, repo, tmp_path):
     spec = artifacts.Spec("o", "r", "v1")
     one = stored_index(spark, str(repo), spec, tmp_path)
     assert search.search(one, "validate token", 1).collect()[0]["name"] == "validateToken"
-    assert artifacts.load_meta(artifacts.artifact_dir(spec, tmp_path)).format_version == artifacts.FORMAT_VERSION
+    assert json.loads((artifacts.artifact_dir(spec, tmp_path) / "index.json").read_text())["format_version"] == artifacts.FORMAT_VERSION
     assert artifacts.artifact_dir(spec, tmp_path) != artifacts.artifact_dir(artifacts.Spec("o", "r"), tmp_path)
+    assert stored_engine(spark, str(repo), spec, tmp_path.as_uri()).fresh  # without a commit nothing is known to fit
+
+
+def test_store(spark, tmp_path):
+    store = Store(spark, tmp_path / "a b")
+    assert store.read("x") is None and not store.exists("x")
+    store.write("x", "é")
+    store.write("x", "ö")
+    assert store.read("x") == "ö" and store.exists("x")
+    with store.lock():
+        with pytest.raises(TimeoutError):
+            with store.lock(wait=0.1):
+                pass
+    with store.lock():
+        assert store.exists(".lock")
+    store.delete("x")
+    assert not store.exists("x") and not store.exists(".lock")
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from siftwork.plans.lineage import shared_folder
+
+    conf = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]")))
 
 
 def test_specs_and_guards(tmp_path, monkeypatch):
@@ -157,8 +223,9 @@ def test_module_config(spark, tmp_path):
     assert got == {
         ("", "@shared/*"): ("", ["shared/*"]), ("", "a//b"): ("", ["x/*y*/z"]), ("packages/web", "@/*"): ("packages/web", ["packages/web/src/*"]), ("packages/web", "@shared/*"): ("packages/web", ["shared/*"]),
         ("packages/web", "a//b"): ("packages/web", ["x/*y*/z"]), ("packages/web", "#/*"): ("packages/web", ["node_modules/@acme/config/shared/*"]),
+        ("", "*"): ("", ["*"]), ("packages/web", "*"): ("packages/web", ["packages/web/*"]),
     }
-    assert module_config.module_rules(spark, str(tmp_path)).count() == 6
+    assert module_config.module_rules(spark, str(tmp_path)).count() == 8
     assert module_config.extended("a", "./tsconfig.base") == "a/tsconfig.json"
     assert module_config.rules(str(tmp_path / "packages")) != []
 
