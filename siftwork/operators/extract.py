@@ -14,7 +14,7 @@ from ..parsing.declarations import symbols as _symbols
 SIZE_LIMIT = 10 * 1024 * 1024
 #: Extensions that the scanner hands to a parser; of these only languages.EXTENSIONS and Markdown have one here.
 MARKDOWN = ("md", "mdx")
-_MORE = {"jsx": "javascript", "cts": "typescript", "pyi": "python"}
+_MORE = {"jsx": "tsx", "cts": "typescript", "pyi": "python"}
 
 
 def language() -> Column:
@@ -42,7 +42,7 @@ def _run(keys: list[str]):
                 found.append([vars(s) | {"comment": _plain(s.comment)} for s in _symbols(p)])
                 again.append([vars(r) for r in _reexports(p)])
                 blank = not text.strip()
-                status.append("Ok" if p.ok and (found[-1] or again[-1] or blank or lang not in ("typescript", "javascript")) else "Failed")
+                status.append("Ok" if p.ok and (found[-1] or again[-1] or blank or lang not in ("typescript", "tsx", "javascript")) else "Failed")
             cols = [*(b.column(k) for k in keys), pa.array(status), pa.array(found, types["symbols"]), pa.array(again, types["reexports"])]
             yield pa.RecordBatch.from_arrays(cols, [*keys, "status", "symbols", "reexports"])
 

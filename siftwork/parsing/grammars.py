@@ -217,6 +217,13 @@ TypeMember = {'readonly' | 'get' | 'set'} PropName ['?'] ( [':' Type] | [TypePar
   | ['+' | '-'] ['readonly'] '[' Name ( ':' Type ']' | 'in' Type ['as' Type] ']' ) [['+' | '-'] '?'] [':' Type] ;
 """
 
+# What the grammar of TypeScript has besides in files with JSX.
+_JSX = """
+Jsx = JOPEN [JNAME] {JsxAttr} ( JEND | JGT {JsxChild} JCLOSE ) ;
+JsxAttr = JNAME ['=' ( STR | '{' Assign '}' | Jsx )] | '{' '...' Assign '}' ;
+JsxChild = Jsx | '{' [ ['...'] Expr ] '}' ;
+"""
+
 # Block-like expressions end a statement by themselves; in "X" rules a brace opens no literal.
 _RUST_EXPR = """
 Expr~ = Bin~ { ('..' | '..=') [Bin~] } | ('..' | '..=') [Bin~] ;
@@ -363,7 +370,8 @@ New = 'new' {Annotation} BaseType ( Args [ClassBody] | '[' [Expr] ']' {'[' [Expr
 
 C = """
 Unit = {External} ;
-@External = ';' | Specs [ InitDecl {',' InitDecl} ] ( ';' | Body ) ;
+@External = ';' | Specs [ InitDecl {',' InitDecl} ] ( ';' | Body | OldParams {OldParams} Body ) ;
+OldParams = Specs InitDecl {',' InitDecl} ';' ;
 @Body = '{' {BlockItem} '}' ;
 Compound = '{' {BlockItem} '}' ;
 Specs = {QUAL} ( Core | ID {QUAL} [Core] | 'typedef' Specs ) ;
@@ -495,12 +503,13 @@ def build(language: str, rest: bool = False) -> Grammar | None:
         return Grammar(GO + more, "Rest" if rest else "File", None, None, "Operand OperandX")
     if language == "python":
         return Grammar(PYTHON, "File")
-    if language in ("javascript", "typescript"):
-        ts = language == "typescript"
+    if language in ("javascript", "typescript", "tsx"):
+        ts, jsx = language != "javascript", language == "tsx"
         context = (L.JS_CONTEXT + " " + (L.TS_CONTEXT if ts else "")).split()
         words = (L.JS_WORDS + " " + (L.TS_WORDS if ts else "")).split()
         prefer = {("Stmt", "{"): "Block", ("Stmt", "function"): "Func", ("Stmt", L.ASYNC_FUNCTION): "Func", ("Stmt", "class"): "Class", ("Stmt", "@"): "Class", ("ArrowBody", "{"): "Block", ("FuncEnd", "{"): "Block", ("Export", "function"): "Func", ("Export", L.ASYNC_FUNCTION): "Func", ("Export", "class"): "Class"}
-        return Grammar(_js(_JS, ts) + (_TS if ts else "") + more, "Rest" if rest else "Program", prefer, {"ASI": [AUTO_SEMI], "ASYNCF": [L.ASYNC_FUNCTION], "CONTEXT": context, "WORD": words}, "Bin If Do Expr TypeOp Postfix Union Inter Lhs!<")
+        plain = _js(_JS, ts) + (_TS if ts else "")
+        return Grammar((plain.replace("Primary = ", "Primary = Jsx | ") + _JSX if jsx else plain) + more, "Rest" if rest else "Program", prefer, {"ASI": [AUTO_SEMI], "ASYNCF": [L.ASYNC_FUNCTION], "CONTEXT": context, "WORD": words}, "Bin If Do Expr TypeOp Postfix Union Inter Lhs!<")
     if language == "rust":
         every = [*L.RUST_WORDS.split(), *(o for o in L.RUST_OPS.split() if o not in ("(", ")", "[", "]", "{", "}") and o not in L.RUST_BINARY.split()), "BIN", "ID", "NUM", "STR", "LIFE"]
         like = "{ unsafe async loop while for if match LIFE".split()

@@ -280,6 +280,123 @@ def js_lexer(typescript: bool) -> BraceLexer:
     return BraceLexer(pattern, _Kinds(fixed, _classifier(JS_OPS, JS_BINARY, more)), "js", frozenset(["return", "break", "continue", "throw"]))
 
 
+class JsxLexer:
+    """TypeScript with JSX elements: outside of them the tokens of the plain lexer; their tags, attributes
+    and ends are kinds of their own, and their text is left out.
+
+    A < begins an element where no operand can end before it and a name or > follows.
+    """
+
+    _tag = re.compile(r"<(?=[A-Za-z_$>])(?!\w+(?:,|\s+extends\b))")
+    _generic = re.compile(r"<\w+>\s*\(")
+    _name = re.compile(r"[A-Za-z_$][\w$\-]*(?:[:.][A-Za-z_$][\w$\-]*)*")
+    _skip = re.compile(r"(?:\s+|//[^\n]*|/\*[\s\S]*?\*/)+")
+    _string = re.compile(r"\"[^\"]*\"|'[^']*'")
+    _text = re.compile(r"[^<{]+")
+    _close = re.compile(r"</\s*([A-Za-z_$][\w$\-]*(?:[:.][A-Za-z_$][\w$\-]*)*)?\s*>")
+    _operand = frozenset("ID NUM STR ) ] } this super true false null ++ --".split())
+
+    def __init__(self):
+        self.plain = js_lexer(True)
+
+    def __call__(self, text: str) -> Tokens:
+        text = text.removeprefix("\ufeff")
+        kinds, texts, comments = [], [], []
+        starts: list[int] = []
+        table, ends, match = self.plain.kinds, self.plain.ends, self.plain.pattern.match
+        pos, modes = 0, [("js", 0, "")]  # (what is read, depth of braces, name of the element)
+
+        def put(k: str, s: str) -> None:
+            kinds.append(k)
+            texts.append(s)
+            starts.extend([len(kinds)] * s.count("\n"))
+
+        def skip(m) -> int:
+            starts.extend([len(kinds)] * m.group().count("\n"))
+            return m.end()
+
+        while pos < len(text):
+            mode, depth, name = modes[-1]
+            if mode == "text":
+                if m := self._text.match(text, pos):
+                    if ">" in m.group() or "}" in m.group():
+                        put("BAD", "")
+                    pos = skip(m)
+                elif m := self._close.match(text, pos):
+                    put("JCLOSE" if (m[1] or "") == name else "BAD", m.group())
+                    modes.pop()
+                    pos = m.end()
+                elif m := self._tag.match(text, pos):
+                    put("JOPEN", "<")
+                    modes.append(("name", 0, ""))
+                    pos = m.end()
+                else:
+                    put(text[pos] if text[pos] == "{" else "BAD", text[pos])
+                    modes.append(("js", 0, "")) if text[pos] == "{" else None
+                    pos += 1
+            elif mode in ("name", "tag"):
+                if m := self._skip.match(text, pos):
+                    pos = skip(m)
+                elif m := self._name.match(text, pos):
+                    put("JNAME", m.group())
+                    modes[-1] = ("tag", 0, m.group() if mode == "name" else name)
+                    pos = m.end()
+                elif m := self._string.match(text, pos):
+                    put("STR", m.group())
+                    pos = m.end()
+                elif text.startswith("/>", pos):
+                    put("JEND", "/>")
+                    modes.pop()
+                    pos += 2
+                elif text[pos] == ">":
+                    put("JGT", ">")
+                    modes[-1] = ("text", 0, name)
+                    pos += 1
+                elif text[pos] == "{":
+                    put("{", "{")
+                    modes.append(("js", 0, ""))
+                    pos += 1
+                elif mode == "tag" and kinds[-1] == "=" and (m := self._tag.match(text, pos)):
+                    put("JOPEN", "<")
+                    modes.append(("name", 0, ""))
+                    pos = m.end()
+                else:
+                    put("=" if text[pos] == "=" else "BAD", text[pos])
+                    pos += 1
+            else:
+                m = match(text, pos)
+                if not m:  # nothing but blanks is left
+                    break
+                s, at, last = m[1], m.start(1), kinds[-1] if kinds else ""
+                if s[0] == "<" and last not in self._operand and self._tag.match(text, at) and not (last == ":" and self._generic.match(text, at)):
+                    put("JOPEN", "<")
+                    modes.append(("name", 0, ""))
+                    pos = at + 1
+                    continue
+                k, pos = table[s], m.end()
+                if k in (_NL, _COMMENT):
+                    n = s.count("\n")
+                    if n and last in ends:
+                        put(";", "")
+                    if k == _COMMENT:
+                        comments.append((len(kinds), len(starts) + 1, len(starts) + n + 1, s))
+                    starts.extend([len(kinds)] * n)
+                    continue
+                put("STR" if k == _LONG else k, s)
+                if k == "{":
+                    modes[-1] = (mode, depth + 1, name)
+                elif k == "}" and depth == 0 and len(modes) > 1:
+                    modes.pop()
+                elif k == "}":
+                    modes[-1] = (mode, max(0, depth - 1), name)
+        if len(modes) > 1:
+            put("BAD", "")
+        kinds.append(EOF)
+        texts.append("")
+        _async_functions(kinds)
+        return Tokens(kinds, texts, Lines(starts, len(kinds)), set(starts), comments)
+
+
 def rust_lexer() -> BraceLexer:
     def more(s: str) -> str:
         if s[0] in "rb" and s[-1] in "\"#'" and len(s) > 1:

@@ -74,14 +74,15 @@ GOOD = {
     "go": ["package a\n", 'package a\nimport (\n\t"b"\n\tc "d"\n)\nfunc (s *T[K]) F(a, b int, c ...string) (int, error) {\n\tif x := f(); x != nil {\n\t\treturn 1, nil\n\t}\n\tfor i, v := range []int{1, 2} {\n\t}\n\tswitch t := x.(type) {\n\tcase *T, []int:\n\t}\n\tselect {\n\tcase v := <-c:\n\tdefault:\n\t}\n\tgo func() {}()\n\treturn T{a: 1, b: map[string]int{"x": 2}}, nil\n}\ntype T[P any] struct {\n\tA, B int `x`\n\t*E\n}\n'],
     "javascript": ["const f = (a, {b, c = 2}, ...d) => ({ ...a, b })\nasync function* g() { for await (const x of y) yield x }\nclass A extends B { static #x = 1; get y() { return this.#x } static { z() } async *m() {} }\nlet r = /[/]x/g.test(s) ? a / b / c : `t ${`n ${1}`}`\nimport d, { e as f2 } from './m'\nexport { f2 as default }\na ??= b?.c?.[1]?.(2)\nlabel: for (;;) { break label }\nif (a) b\nelse c\nvar x = function () {}, y\nnew Foo\nreturn_\n"],
     "typescript": ["export abstract class A<T extends B = C> implements D, E { private readonly x?: Map<string, Set<number>>; constructor(public a: string, b?: number) { super() } abstract m(): void; get v(): T | null { return null } [k: string]: any }\ninterface I extends J<K> { (a: string): number; new (x: any): I; readonly [k: string]: any; m?<T>(a: T): a is string }\ntype X<T> = T extends (infer U)[] ? U : { [K in keyof T]?: T[K] }\nenum E { A = 1, B }\ndeclare module 'x' { export const y: number }\nconst f = async <T,>(a: T, b?: string): Promise<T> => { return a as unknown as T }\nfunction o(a: string): void\nfunction o(a: any) { switch (a) { case 1: return; default: break } }\nlet z = a! + b!.c\nfor (let i: number = 0; i < 3; i++) {}\nexport type { Q } from './q'\nconst u = <T>(x: T): x is NonNullable<T> => true\n"],
+    "tsx": ["import * as React from 'react';\nexport function App<T>({ a, b }: Props<T>): JSX.Element {\n  const f = <K,>(x: K) => x;\n  if (a < b && b > a) { return <></>; }\n  return (\n    <div className=\"it's\" data-x={a} {...rest} on={() => <b>don't</b>}>\n      {/* note */}\n      {items.map((i) => <Item.Row key={i.id} icon=<Icon /> >{i.name} isn't {`t${i}`}</Item.Row>)}\n      {a ? <br/> : null} text\n    </div>\n  );\n}\nconst x = y as Map<string, number>;\n", "let a: number = 1 < 2 ? 3 : 4\n"],
     "rust": ["#![allow(x)]\nuse a::{self, b::*};\npub(crate) async unsafe fn f<'a, T: Clone + 'a>(x: &'a mut [T], (a, b): (u8, u8)) -> Result<Vec<T>, Box<dyn Error + Send>> where T: Copy {\n    let Some(y) = z else { return Err(e)? };\n    let c = |a: u8, b| -> u8 { a + b };\n    match x { [a, .., b] if a > b => {} Foo::Bar { x, .. } | Foo::Baz(1..=2) => 1, _ => return Ok(()), }\n    for i in 0..x.len() as u32 { println!(\"{}\", i); }\n    if let Some(a) = b && c { d } else if e { f } else { S { a, ..g } }\n    a.b::<C>().await?;\n    'l: loop { break 'l; }\n    vec![1; 2]\n}\nimpl<T> Tr for S<T> { type A = B; const C: u8 = 1; fn m(&self) {} }\nmacro_rules! m { ($a:expr) => { $a }; }\nstruct U(pub u8);\n"],
     "java": ["package a.b;\nimport static c.D.*;\n@A(b = 1, c = {2, 3})\npublic final class E<T extends F & G> extends H<I> implements J {\n  static { k(); }\n  private int[] x = {1, 2}, y;\n  public <U> Map<String, List<U>> m(final int a, String... b) throws X {\n    for (Map.Entry<K, V> e : f.entrySet()) { g((String) h, (a1, b1) -> a1 + b1, I::new, int[]::new); }\n    try (R r = new R()) { } catch (A | B e) { } finally { }\n    switch (x) { case 1: case 2: break; default: }\n    int z = switch (y) { case A -> 1; default -> { yield 2; } };\n    if (o instanceof String s && s.length() > 1) return new int[3][];\n    List<? super T> l = new ArrayList<>() { void q() {} };\n    a = b < c ? d : e >>> 2;\n    return null;\n  }\n  E() { this(1); }\n  enum N { A(1) { }, B; int record; }\n  record P(int a, int b) { P { } }\n}\n"],
-    "c": ["#include <a.h>\n#define X(a) \\\n  a\ntypedef struct s { int a : 3; union { char b; }; } s_t;\nstatic const char *const t[] = { [1] = \"a\" \"b\", };\nint (*fp)(int, ...);\nunsigned long f(const struct s *a, s_t b[], int (*c)(void)) {\n  int x = (int) a->b + sizeof(struct s) * sizeof x, *p = &x;\n  foo(x); T *y; T z = { .a = 1 };\n  for (int i = 0; i < 3; i++) switch (i) { case 1 ... 2: default: break; }\n  do { goto end; } while (0);\nend:\n  return x ? (T){1}.a : -1;\n}\n"],
+    "c": ["#include <a.h>\n#define X(a) \\\n  a\ntypedef struct s { int a : 3; union { char b; }; } s_t;\nstatic const char *const t[] = { [1] = \"a\" \"b\", };\nint (*fp)(int, ...);\nunsigned long f(const struct s *a, s_t b[], int (*c)(void)) {\n  int x = (int) a->b + sizeof(struct s) * sizeof x, *p = &x;\n  foo(x); T *y; T z = { .a = 1 };\n  for (int i = 0; i < 3; i++) switch (i) { case 1 ... 2: default: break; }\n  do { goto end; } while (0);\nend:\n  return x ? (T){1}.a : -1;\n}\nint old(a, b)\n  int a;\n  char *b;\n{\n  return a;\n}\n"],
     "ruby": ["require 'x'\nmodule A::B\n  class C < D\n    attr_reader :a, :b\n    X = %w[a b].freeze\n    def self.m(a, b = 1, *c, d:, e: 2, **f, &g)\n      return 1, 2 unless a && !b\n      puts \"x #{a[\"y\"]}\" if b\n      h = { a: 1, 'b' => 2, \"c\": 3 }\n      x.each do |k, (v, w)| k += v end\n      y = x.map { |z| z.to_s + \"1\" }\n        .select(&:empty?)\n      case a\n      when 1, 2 then b\n      when String\n        c\n      else d\n      end\n      begin\n        raise E, \"m\"\n      rescue F, G => e\n        retry\n      ensure\n        z\n      end\n      t = <<~SQL\n        select 'it''s\n      SQL\n      a ? b : c\n      while x do y end\n      a, *b = *c\n      ->(q) { q / 2 }.call 3\n      yield(a) / 2\n    end\n    def ok? = true\n    private def r; end\n  end\nend\n"],
 }
 BAD = {
     "go": ["func f() {}\n", "package a\nfunc f() {\n", "package a\nvar x = (1\n", "package a\n<<<<<<< HEAD\n"], "javascript": ["let x: number = 1;", "function f( {", "a b", "interface A {}", "x = `abc", "if (a {}"],
-    "typescript": ["func f() {}", "class A { m( }", "let x: = 1;", "use a::b;"], "rust": ["fn f( {}", "let x = 1;", "fn f() { a b }", "import x"], "java": ["class A { int f( { } }", "int x;x", "import logging\n", "class A { void f() { a b c; } }"],
+    "typescript": ["func f() {}", "class A { m( }", "let x: = 1;", "use a::b;"], "tsx": ["const a = <div>;", "const a = <div></span>;", "const a = <div x=></div>;", "const a = <div>{</div>;", "const a = <div>}</div>;"], "rust": ["fn f( {}", "let x = 1;", "fn f() { a b }", "import x"], "java": ["class A { int f( { } }", "int x;x", "import logging\n", "class A { void f() { a b c; } }"],
     "c": ["int f( {}", "int x = ;", "use a::b;", "int f(void) { return 1 }"], "ruby": ["def f(\nend\n", "class a\nend\n", "if x\n", "x = (1\n", "<<<<<<< HEAD\n", "case x:\n"],
 }
 
@@ -114,6 +115,36 @@ def test_no_text_breaks_the_parser(text, language):
     functions(p)
 
 
+@pytest.mark.parametrize("language", ["typescript", "tsx"])
+def test_dialects_at_once_and_one_after_the_other(language):
+    texts = [t for k in ("typescript", "javascript", "tsx") for t in GOOD[k] + BAD[k]] + ["", "// x\n", "package = 1; interface = 2\n", "let type = 1\ntype = 2\n"]
+    for text in texts:
+        assert languages.together(text, language) == (languages.recognises(text, language) is not None), text
+    assert languages.recognises(texts[0], language)
+
+
+def test_functions_of_a_file_with_elements():
+    p = languages.read("/** Draws. */\nexport function Page() {\n  return <p>it's</p>;\n}\n\n// Other.\nconst row = (x: number) => <tr>{x}</tr>;\n", "tsx")
+    assert p.ok and p.dialect == "typescript"
+    assert [(f.name, f.start_line, f.doc) for f in functions(p)] == [("Page", 2, "/** Draws. */"), ("row", 7, "// Other.")]
+
+
+def test_what_is_remembered_changes_nothing():
+    """The stretches over which choices are open, remembered or followed each time, give the same spans."""
+    from siftwork.parsing import gll
+
+    for k, texts in GOOD.items():
+        for text in texts + BAD.get(k, []):
+            lexer, g = languages._tools(languages.DIALECTS.get(k, (k,))[0])
+            t = lexer(text)
+            first, second = parse(g, t.kinds, t.breaks), parse(g, t.kinds, t.breaks)
+            foreseen, gll._foreseen = gll._foreseen, lambda *a: None
+            try:
+                assert first == second == parse(g, t.kinds, t.breaks)
+            finally:
+                gll._foreseen = foreseen
+
+
 def test_functions_of_a_broken_file():
     p = languages.read("package a\n\n// Doc of f.\nfunc f() int {\n\treturn 1\n}\n\nvar x = (\n\n// Doc of g.\nfunc g() {\n}\n", "go")
     assert not p.ok
