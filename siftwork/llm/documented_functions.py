@@ -121,7 +121,7 @@ def _extract(batches):
                 lines = clean(f.doc)
                 if not lines:
                     continue
-                row = (fid, lang, p.ok, f.name, f.kind, f.start_line, f.end_line, f.signature, f.doc_style, "\n".join(lines), _SENTENCE.split(" ".join(lines), maxsplit=1)[0], informative(lines, f.name, f.signature))
+                row = (fid, languages.FAMILIES.get(lang, lang), p.ok, f.name, f.kind, f.start_line, f.end_line, f.signature, f.doc_style, "\n".join(lines), _SENTENCE.split(" ".join(lines), maxsplit=1)[0], informative(lines, f.name, f.signature))
                 for col, v in zip(out, row):
                     col.append(v)
         types = [pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()]
