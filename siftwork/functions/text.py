@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,10 +50,14 @@ def text_tokens(c: Column | str) -> Column:
     return F.filter(words, lambda x: F.octet_length(x).between(2, MAX_WORD_BYTES - 1))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stemmed(tokens: pd.Series) -> pd.Series:
-    """The Porter2 stems of arrays of tokens, repeats kept."""
-    return tokens.map(lambda ts: None if ts is None else [stem(t) for t in ts])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stemmed(tokens: pa.Array) -> pa.Array:
+    """The Porter2 stems of arrays of tokens, repeats kept; each different token of a batch is stemmed once."""
+    coded = tokens.flatten().dictionary_encode()
+    stems = pa.array([None if t is None else stem(t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), stems, mask=tokens.is_null() if tokens.null_count else None)
 
 
 def invalid_query_letters(c: Column | str) -> Column:

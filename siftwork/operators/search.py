@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -142,7 +143,11 @@ def scores(index: Index, terms: DataFrame, filters: Filters = Filters(), weights
 
 
 def driver_terms(spark: SparkSession, query: str, stemming: bool = True) -> list[str]:
-    """The words of one query, repeats kept, by the same expressions; no job is run."""
+    """The words of one query, repeats kept: of an ASCII query at once, of others by the same expressions
+    as those of a text; no job is run."""
+    if query.isascii():
+        words = [w for w in re.findall(r"[a-z0-9_]+", query.lower()) if 1 < len(w) < X.MAX_WORD_BYTES]
+        return [stem(w) for w in words] if stemming else words
     words = spark.sql("select :query as query", args={"query": query}).select(X.text_tokens("query").alias("words")).first()["words"] or []
     return [stem(w) for w in words] if stemming else words
 
@@ -190,4 +195,5 @@ def search(index: Index, query: str, k: int = 10, filters: Filters = Filters(),
     hits = _within(index.postings.where(F.col("term").isin(sorted(df))), index, filters).withColumn("q", F.try_element_at(table, F.col("term")))
     parts = hits.select("doc_id", F.explode("q.qpos").alias("qpos"), "field_id", _part(F.lit(n), F.col("q.df"), avgdl, weights).alias("s"))
     top = _summed(parts, "doc_id").orderBy(F.desc("score"), "doc_id").limit(k)
-    return F.broadcast(top).join(index.doc_store, "doc_id").orderBy(F.desc("score"), "doc_id") if k <= 10_000 else top.join(index.doc_store, "doc_id").orderBy(F.desc("score"), "doc_id")
+    # once more the first k, so that the order needs no ranges
+    return (F.broadcast(top) if k <= BROADCAST_TERMS else top).join(index.doc_store, "doc_id").orderBy(F.desc("score"), "doc_id").limit(k)

@@ -112,6 +112,13 @@ def test_scans_are_asked_for_the_terms(spark, mixed, tmp_path, capsys):
     assert len(joins) == 1 and "BroadcastHashJoin" in joins[0] and "BuildRight" in joins[0] and "doc_id#" in tree[scan] and scan < sent
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.text(st.sampled_from("abZ019_ -.éß/\n"), max_size=30))
+def test_words_of_a_query_are_those_of_a_text(spark, query):
+    rows = search.query_terms(spark.createDataFrame([(0, query)], "query_id int, query string")).orderBy("qpos").collect()
+    assert search.driver_terms(spark, query) == [r["term"] for r in rows]
+
+
 def test_many_terms_are_joined_by_a_shuffle(spark, mixed, monkeypatch, capsys):
     queries = spark.createDataFrame([(1, "validate token"), (2, "guide"), (3, "login token token"), (4, "")], "query_id int, query string")
     rows = lambda: sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in search.search_many(mixed, queries, 2).collect())

@@ -105,3 +105,10 @@ def test_comments(spark):
     assert len(long["summary_line"]) == 120 and len(long["body_preview"]) == 200
     both = df.select(X.searchable_comment(F.col("c")).alias("s")).collect()
     assert both[0]["s"].startswith("@deprecated Validate token safely. @deprecated") and both[1]["s"] is None
+
+
+def test_stems_of_arrays(spark):
+    rows = [(0, None), (1, []), (2, ["parsing", "the", "parsing"]), (3, ["tokens", None]), (4, None), (5, ["validation"])]
+    df = spark.createDataFrame(rows, "i int, t array<string>").repartition(2)
+    got = {r["i"]: r["s"] for r in df.select("i", X.stemmed("t").alias("s")).collect()}
+    assert got == {0: None, 1: [], 2: ["pars", "the", "pars"], 3: ["token", None], 4: None, 5: ["valid"]}
