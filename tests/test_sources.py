@@ -49,6 +49,17 @@ def test_scan(spark, tmp_path):
     assert got == {"a.py": (False, False), "edge.py": (False, False), "big.py": (True, True)}
 
 
+def test_ignore_files(spark, tmp_path):
+    for path in ("a.log", "keep.log", "sub/b.log", "sub/c.tmp", "c.tmp", "sub/deep/x.py", "deep/x.py", "doc/a/b/c.txt", "secret.py", "out1.py", "outx.py", "sub/data/y.py"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x")
+    (tmp_path / ".git/info").mkdir(parents=True)
+    (tmp_path / ".git/info/exclude").write_text("secret.py\n")
+    (tmp_path / ".gitignore").write_text("*.log\n!keep.log\n/deep/\ndoc/**/c.txt\nout[0-9].py\n\n# note\n")
+    (tmp_path / "sub/.gitignore").write_text("*.tmp\n!b.log\ndata/\n")
+    assert sorted(r["filepath"] for r in files.scan(spark, str(tmp_path)).collect()) == ["c.tmp", "keep.log", "outx.py", "sub/b.log", "sub/deep/x.py"]
+
+
 def test_report(engine):
     (r,) = engine.report().collect()
     assert (r["parsed_count"], r["unsupported"], r["failed"], r["oversized"]) == (6, ["notes.txt"], [], [])
