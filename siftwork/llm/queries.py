@@ -109,4 +109,17 @@ toks as (select section_id, list_filter(regexp_extract_all(lower(content), '[\\p
 places as (select section_id, t, unnest(range(1, len(t) + 1)) as i from toks),
 grams as (select section_id, array_to_string(t[i:i + n - 1], ' ') as gram from places, (values (1), (2), (3)) sizes(n) where i + n - 1 <= len(t))
 select gram, count(*) as occurrences, count(distinct section_id) as records from grams group by gram"""
+# A block is a fence with all between, or a run of lines that are neither blank nor in a fence.
+SQL["p3_found"] = """
+with long as (select distinct on (section_id) section_id, content from doc_sections where length(content) > 2000),
+raw as (select section_id, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as i from long),
+l as (select section_id, i, regexp_replace(line, '\\r+$', '') as bare, regexp_matches(line, '^\\s*```') as mark, regexp_matches(line, '\\S') as solid, coalesce(sum(length(line) + 1) over (partition by section_id order by i rows between unbounded preceding and 1 preceding), 0) as start from raw),
+f as (select *, start + length(bare) as stop, coalesce(sum(mark::int) over (partition by section_id order by i), 0) as marks, sum(mark::int) over (partition by section_id) as all_marks from l),
+g as (select *, mark or marks % 2 = 1 as fenced from f),
+h as (select *, sum((fenced or not solid)::int) over (partition by section_id order by i) as gaps from g),
+b as (
+  select section_id, max(stop) - min(start) as size from h where fenced and (solid or (marks + 1) // 2 * 2 <= all_marks) group by section_id, (marks + 1) // 2
+  union all select section_id, max(stop) - min(start) from h where solid and not fenced group by section_id, gaps),
+m as (select section_id, max(length(bare)) filter (solid) as line from l group by section_id)
+select section_id, case when coalesce((select max(size) from b where b.section_id = m.section_id), 0) <= 2000 then 'block' when line <= 2000 then 'line' else 'inside' end as cut_kind from m"""
 SQL["p2_found"] = f"select term, mark from ({SQL['p2_frequencies']}) where mark is not null"

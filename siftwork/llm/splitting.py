@@ -8,8 +8,8 @@ before, cut back to the start of a line or word where there is one.  Runs withou
 cut so that a piece has room for the whole overlap, and so are parts that would fill one.
 
 A map over the rows that are too long: nothing is shuffled.  Defined results: null, empty and
-short contents are not cut (pieces() returns them as one piece); null start_line gives
-null lines; repeated rows are cut once; further columns are ignored; a content over the limit
+short contents need no cut and have no row; null start_line gives null lines; repeated rows are
+cut once; further columns are ignored; a content over the limit
 of nothing but white space is cut at characters and counts as block.
 """
 
