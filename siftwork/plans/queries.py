@@ -207,6 +207,14 @@ def markdown_sections(spark: SparkSession, folder: str) -> DataFrame:
     return markdown.sections(files, "repo_id")
 
 
+def markdown_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with its lists as text."""
+    return markdown_sections(spark, folder).select(
+        "repo_id", "filepath", F.col("ordinal").cast("long").alias("ordinal"), "section_title", F.array_join("heading_hierarchy", " / ").alias("headings"), "content", F.array_join("code_symbols", ",").alias("code_symbols"),
+        F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"),
+    )
+
+
 def cache_eviction(spark: SparkSession, folder: str) -> DataFrame:
     """Per repository, the files beyond the newest 20 kB."""
     files = table(spark, folder, "source_files").groupBy("repo_id", "file_id").agg(F.max("size_bytes").alias("size"), F.max("committed_at").alias("touched_at"))
@@ -218,7 +226,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_terms, identifier_parts, index_postings, index_doc_freqs, index_field_stats, search_one, search_filtered, search_batch, search_titles, search_stemmed, search_stemmed_hits, query_letters, path_functions, comment_summaries, surface_counts,
-        test_links, test_cards, test_totals, surface_all, surface_cards, surface_hints, surface_coverage, reexport_targets, extracted_symbols, extracted_reexports, parse_report, parse_problems, report_totals, markdown_sections, cache_eviction,
+        test_links, test_cards, test_totals, surface_all, surface_cards, surface_hints, surface_coverage, reexport_targets, extracted_symbols, extracted_reexports, parse_report, parse_problems, report_totals, markdown_sections, markdown_table, cache_eviction,
     )
 }
 
@@ -284,6 +292,23 @@ select symbol_id, s as summary_line, case when p <> s then p end as body_preview
     "cache_eviction": "with f as (select repo_id, file_id::varchar as path, max(size_bytes) as size, max(committed_at) as touched_at from source_files group by repo_id, file_id), k as (select *, sum(size) over (partition by repo_id order by touched_at desc, path desc rows unbounded preceding)::bigint as kept_size from f) select repo_id, path, size, kept_size from k where kept_size > 20000",
 }
 
+_IDENTIFIERS = r"list_sort(list_distinct(list_filter(regexp_split_to_array({}, '[^\p{{L}}\p{{M}}\p{{N}}_]'), lambda x: strlen(x) >= 2 and regexp_matches(x, '^[\p{{L}}_]'))))"
+SQL["markdown_table"] = rf"""with {_SEC}, part as (select repo_id, {_PATH} as filepath, ordinal, section_id, coalesce(repeat('#', least(greatest(len(heading_hierarchy), 1), 6)::int) || ' ' || section_title || chr(10) || coalesce(content, ''), content) as text from sec),
+file as (select repo_id, filepath, string_agg(text, chr(10) order by ordinal, section_id) as content from part group by all),
+raw as (select repo_id, filepath, unnest(string_split(case when suffix(content, chr(10)) then left(replace(content, chr(13) || chr(10), chr(10)), -1) else replace(content, chr(13) || chr(10), chr(10)) end, chr(10))) as line, generate_subscripts(string_split(case when suffix(content, chr(10)) then left(replace(content, chr(13) || chr(10), chr(10)), -1) else replace(content, chr(13) || chr(10), chr(10)) end, chr(10)), 1) as i from file where content is not null),
+f as (select *, starts_with(ltrim(line, ' '), '```') as fence, sum(starts_with(ltrim(line, ' '), '```')::int) over (partition by repo_id, filepath order by i) as fences, sum(starts_with(ltrim(line, ' '), '```')::int) over (partition by repo_id, filepath) as all_fences from raw),
+d as (select *, case when not fence and fences % 2 = 0 and trim(regexp_extract(line, '^\s*#{{1,6}} (.*)$', 1)) <> '' then length(regexp_extract(line, '^\s*(#{{1,6}}) ', 1)) end as depth from f),
+n as (select *, count(depth) over (partition by repo_id, filepath order by i) as section from d),
+code as (select repo_id, filepath, section, fences, {_IDENTIFIERS.format("string_agg(line, chr(10) order by i)")} as names from n where not fence and fences % 2 = 1 and fences < all_fences group by all),
+names as (select repo_id, filepath, section, flatten(list(names order by fences)) as names from code group by all),
+cut as (select repo_id, filepath, section, max(case when depth is not null then trim(regexp_extract(line, '^\s*#{{1,6}} (.*)$', 1)) end) as title, max(depth) as depth, min(i) as first, max(i) as last, coalesce(trim(string_agg(line, chr(10) order by i) filter (depth is null), ' ' || chr(10) || chr(9) || chr(13)), '') as content from n group by all),
+up as (select b.repo_id, b.filepath, b.section, list(a.title order by a.section) as titles from cut a join cut b using (repo_id, filepath) where a.depth is not null and (a.section = b.section or a.section < b.section and a.depth < b.depth) and not exists (select 1 from cut c where c.repo_id = a.repo_id and c.filepath = a.filepath and c.section > a.section and c.section <= b.section and c.depth <= a.depth) group by all),
+kept as (select c.*, coalesce(m.names, []) as names, coalesce(u.titles, []) as titles from cut c left join names m using (repo_id, filepath, section) left join up u using (repo_id, filepath, section) where regexp_matches(c.content, '\S') or c.title is not null and len(coalesce(m.names, [])) > 0),
+every as (select repo_id, filepath, section, coalesce(title, 'Introduction') as section_title, titles, content, names, first as start_line, last as end_line from kept
+  union all select repo_id, filepath, 0, 'Introduction', [], trim(replace(content, E'
+', chr(10)), ' ' || chr(10) || chr(9) || chr(13)), {_IDENTIFIERS.format("content")}, 1, len(string_split(case when suffix(content, chr(10)) then left(replace(content, chr(13) || chr(10), chr(10)), -1) else replace(content, chr(13) || chr(10), chr(10)) end, chr(10))) from file where regexp_matches(content, '\S') and (repo_id, filepath) not in (select (repo_id, filepath) from kept))
+select repo_id, filepath, row_number() over (partition by repo_id, filepath order by section) - 1 as ordinal, section_title, array_to_string(titles, ' / ') as headings, content, array_to_string(names, ',') as code_symbols, start_line, end_line from every"""
+
 # The words that share a stem with a word of QUERY, and that stem; no other word's stem is one of these.
 _FORMS = "buffers buffer, indexes index, indexed index, indexing index, readers reader, returns return, returned return, returning return, shared share, shares share, sharing share, stable stabl"
 _FORM_OF = "case term " + " ".join("when '{}' then '{}'".format(*x.split()) for x in _FORMS.split(",")) + " else term end"
