@@ -305,8 +305,7 @@ cut as (select repo_id, filepath, section, max(case when depth is not null then
 up as (select b.repo_id, b.filepath, b.section, list(a.title order by a.section) as titles from cut a join cut b using (repo_id, filepath) where a.depth is not null and (a.section = b.section or a.section < b.section and a.depth < b.depth) and not exists (select 1 from cut c where c.repo_id = a.repo_id and c.filepath = a.filepath and c.section > a.section and c.section <= b.section and c.depth <= a.depth) group by all),
 kept as (select c.*, coalesce(m.names, []) as names, coalesce(u.titles, []) as titles from cut c left join names m using (repo_id, filepath, section) left join up u using (repo_id, filepath, section) where regexp_matches(c.content, '\S') or c.title is not null and len(coalesce(m.names, [])) > 0),
 every as (select repo_id, filepath, section, coalesce(title, 'Introduction') as section_title, titles, content, names, first as start_line, last as end_line from kept
-  union all select repo_id, filepath, 0, 'Introduction', [], trim(replace(content, E'
-', chr(10)), ' ' || chr(10) || chr(9) || chr(13)), {_IDENTIFIERS.format("content")}, 1, len(string_split(case when suffix(content, chr(10)) then left(replace(content, chr(13) || chr(10), chr(10)), -1) else replace(content, chr(13) || chr(10), chr(10)) end, chr(10))) from file where regexp_matches(content, '\S') and (repo_id, filepath) not in (select (repo_id, filepath) from kept))
+  union all select repo_id, filepath, 0, 'Introduction', [], trim(replace(content, chr(13) || chr(10), chr(10)), ' ' || chr(10) || chr(9) || chr(13)), {_IDENTIFIERS.format("content")}, 1, len(string_split(case when suffix(content, chr(10)) then left(replace(content, chr(13) || chr(10), chr(10)), -1) else replace(content, chr(13) || chr(10), chr(10)) end, chr(10))) from file where regexp_matches(content, '\S') and (repo_id, filepath) not in (select (repo_id, filepath) from kept))
 select repo_id, filepath, row_number() over (partition by repo_id, filepath order by section) - 1 as ordinal, section_title, array_to_string(titles, ' / ') as headings, content, array_to_string(names, ',') as code_symbols, start_line, end_line from every"""
 
 # The words that share a stem with a word of QUERY, and that stem; no other word's stem is one of these.
