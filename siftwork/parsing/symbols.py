@@ -231,15 +231,20 @@ def functions(p: Parsed, documented: bool = False) -> list[Function]:
             name -= texts[name] in ("?", "!") and name > 0
             if kinds[name] != "]":
                 found.append((name, name, b, "Method"))
-        ends = {e: s for s, e in [*by.get("ArrowTail", ()), *by.get("FuncExpr", ())]}
-        inits = set(by.get("Init", ()))
+        inits, arrows = {}, {}  # the starts of those that end at a token
+        for starts, tag in ((inits, "Init"), (arrows, "ArrowTail")):
+            for s, e in by.get(tag, ()):
+                starts.setdefault(e, []).append(s)
+        ends = {e for _, e in by.get("FuncExpr", ())} | arrows.keys()
         for a, b in by.get("VarDecl", ()):
-            init = next((i for i in range(a, b) if (i, b) in inits), -1)
-            if init < 0 or b not in ends:
+            if b not in ends:
+                continue
+            init = min((s for s in inits.get(b, ()) if s >= a), default=-1)
+            if init < 0:
                 continue
             if kinds[init + 1] in ("function", lexers.ASYNC_FUNCTION):
                 found.append((a, a, b, "Function"))
-            elif any(e == b and _arrow_of(kinds, init + 1, s) for s, e in by.get("ArrowTail", ())):
+            elif any(_arrow_of(kinds, init + 1, s) for s in arrows.get(b, ())):
                 found.append((a, a, b, "Function"))
     decorated = {e: s for s, e in by.get("Decorated", ())}
     out = []
