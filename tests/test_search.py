@@ -1,12 +1,17 @@
 """Index and search: golden scores, filters, properties, stored indexes."""
 
 import itertools
+import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
 
+from siftwork.functions import text as X
 from siftwork.operators import index, search
 from siftwork.schemas import COMMENT, EXPORT
 
@@ -130,6 +135,47 @@ def test_many_terms_are_joined_by_a_shuffle(spark, mixed, monkeypatch, capsys):
     assert "SortMergeJoin" in explained(search.scores(mixed, search.query_terms(queries)), capsys)
 
 
+def test_hits_of_many_queries_are_not_shuffled(spark, mixed, tmp_path, capsys):
+    queries = spark.createDataFrame([(1, "validate token"), (2, "guide"), (3, "login token token"), (4, "")], "query_id int, query string")
+    plan = explained(search.search_many(mixed, queries, 2), capsys)
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", plan) and "MapInArrow" in plan
+    # neither are the postings of an index that is being built
+    c = code(spark, (0, "validateToken", "src/auth.rs"))
+    assert "Exchange" not in explained(index.build(c, stored=False).postings, capsys) + explained(index.build(c).postings, capsys)
+    mixed.save(str(tmp_path), 2)
+    loaded = index.Index.load(spark, str(tmp_path))
+    for only in (search.Filters(), search.Filters.of(["src", "docs"]), search.Filters.of(doc_type="Code")):
+        one, two = (sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in search.search_many(i, queries, 2, only).collect()) for i in (mixed, loaded))
+        assert one == two and one
+
+
+def test_best_of_rows_against_all_scores(monkeypatch):
+    """Ties, repeated words, documents that batches cut, fewer hits than k, queries that add up in another order."""
+    monkeypatch.setattr(search, "SCORED_ROWS", 40)
+    draw = np.random.default_rng(3)
+    rows = [(d, w * 128 + f, np.float32(draw.choice([0.1, 0.25, 1.7, 3.3]))) for d in draw.permutation(300).tolist() for w, f in itertools.product(range(4), range(3)) if draw.random() < (0.5, 0.2, 0.05, 0.002)[w]]
+    asked = [[0], [0, 1], [1, 0], [0, 0, 2], [3], [2, 1, 0, 3]]
+    table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "key": pa.array([r[1] for r in rows], pa.int64()), "s": pa.array([r[2] for r in rows], pa.float32())})
+    for k in (1, 3, 1000):
+        run = search._best_of_rows(np.array(sum(asked, []), np.int32), np.cumsum([len(q) for q in asked]), k)
+        got = pa.Table.from_batches(run(iter(table.to_batches(max_chunksize=17)))).to_pylist()
+        for i, q in enumerate(asked):
+            total = {}
+            for w in q:
+                for d, key, s in sorted(rows, key=lambda r: r[1]):
+                    if key // 128 == w:
+                        total[d] = np.float32(total.get(d, np.float32(0)) + s)
+            assert [(r["doc_id"], r["score"]) for r in got if r["number"] == i] == sorted(((d, float(s)) for d, s in total.items()), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def test_terms_are_counted_within_a_row(spark):
+    rows = [(0, [["a", "b", "a"], None, []]), (1, []), (2, [None]), (3, [["tokens", "é", "token"], ["a"]])]
+    df = spark.createDataFrame(rows, "i int, f array<array<string>>").repartition(1)
+    for counts, words in ((X.term_counts, lambda w: w), (X.stem_counts, lambda w: w.removesuffix("s"))):
+        got = {r["i"]: [f and (f["dl"], dict(f["terms"])) for f in r["c"]] for r in df.select("i", counts("f").alias("c")).collect()}
+        assert got == {i: [f if f is None else (len(f), dict(Counter(map(words, f)))) for f in fields] for i, fields in rows}
+
+
 def test_nulls_and_empty_tables(spark):
     rows = [Row(doc_id=0, name=None, kind=None, filepath=None, start_line=None, end_line=None, params=None, comment=None, export=None), Row(doc_id=1, name="x" * 200_000, kind="Function", filepath="a.py", start_line=1, end_line=1, params=[None, "tokenName"], comment=None, export=None)]
     i = index.build(index.code_documents(spark.createDataFrame(rows, SYMBOL)).unionByName(docs(spark, (2, None, None, None), (3, "", "", ""))))
